@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from palimpsest.llm import decontaminate
 from palimpsest.llm.decontaminate import op10_decontaminate
+from palimpsest.llm.line_dedup import op1_line_dedup
 from palimpsest.llm.packing import op2_packing
 from palimpsest.llm.quality_rules import op3_quality_rules
 from palimpsest.llm.token_files import op4_token_files
+from palimpsest.llm.toxicity import op9_toxicity
 from palimpsest.llm.url_filter import op7_url_filter
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
     "op7_url_filter": op7_url_filter,
+    "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
 
