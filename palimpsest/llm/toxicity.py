@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from palimpsest.llm.common import read, save, text_of
 from palimpsest.llm.string_kernel import Landmarks, clean, norm, phi
@@ -214,7 +215,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     if model is None:
         return docs.withColumn("_p_score", F.lit(0.0))
     plain = docs.withColumn("_p_text", text_of(docs, text))
-    schema = docs.schema.add("_p_score", "double")
+    schema = StructType([*docs.schema.fields, StructField("_p_score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Landmarks(model.words, model.floor)
