@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 RADIUS = 6378137.0
 EDGE = math.pi * RADIUS
@@ -69,7 +70,7 @@ def tile_rows(ranges: DataFrame) -> DataFrame:
     return ranges.withColumn("x", F.explode(F.sequence("x_min", "x_max"))).withColumn("y", F.explode(F.sequence("y_min", "y_max"))).drop("x_min", "x_max", "y_min", "y_max")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def round6(v: pd.Series) -> pd.Series:
     """Half-even on the exact binary value, which no built-in does."""
     return v.map(lambda x: None if pd.isna(x) else round(x, 6))

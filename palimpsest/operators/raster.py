@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from palimpsest.operators.spatial import inside
 
@@ -132,7 +133,7 @@ def phase_shift(a: np.ndarray, b: np.ndarray, apart: int = 3) -> tuple[float, fl
     return float(wrap(r + dr, h)), float(wrap(c + dc, w)), float(surface[r, c] / second)
 
 
-@pandas_udf("struct<dy double, dx double, ratio double>")
+@pandas_udf(StructType([StructField(n, DoubleType()) for n in ("dy", "dx", "ratio")]))
 def phase_correlation(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Shift between two flattened square patches."""
     out = []

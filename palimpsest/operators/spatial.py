@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 BOX = ["west", "south", "east", "north"]
 
@@ -119,19 +120,19 @@ def _ring(value) -> np.ndarray:
     return np.array([list(p) for p in value], float).reshape(-1, 2)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def clipped_area(ring: pd.Series, west: pd.Series, south: pd.Series, east: pd.Series, north: pd.Series) -> pd.Series:
     """Area that a ring shares with a box."""
     out = [abs(area_of(c)) if len(c := clip_ring(_ring(r), b)) > 2 else 0.0 for r, *b in zip(ring, west, south, east, north, strict=True)]
     return pd.Series(out, dtype=float)
 
 
-@pandas_udf("boolean")
+@pandas_udf(BooleanType())
 def ring_holds(ring: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([bool(inside(np.array(a), np.array(b), _ring(r))) for r, a, b in zip(ring, x, y, strict=True)])
 
 
-@pandas_udf("boolean")
+@pandas_udf(BooleanType())
 def rings_meet(a: pd.Series, b: pd.Series) -> pd.Series:
     """Closed intersection: a shared point is enough."""
     out = []
@@ -141,7 +142,7 @@ def rings_meet(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def ring_problem(ring: pd.Series) -> pd.Series:
     return pd.Series([None if r is None else invalid_reason(_ring(r)) for r in ring])
 

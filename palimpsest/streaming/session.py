@@ -97,7 +97,7 @@ def _clean(frame: pd.DataFrame) -> list[dict]:
 def replay(events: DataFrame, editions: list[str]) -> DataFrame:
     """State after every event of a finished table."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         s = State()
         return pd.DataFrame([_row(key[0], e, s, step_out) for e in _clean(frame) if (step_out := step(s, e, editions)) is not None], columns=_NAMES)
 
