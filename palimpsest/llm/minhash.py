@@ -10,10 +10,12 @@ exhaustively: sketches rule out pairs far below the threshold, and each pair
 left that is not connected yet is confirmed on full sets. Larger nodes branch
 again by the two least shingles of the next level, so that a pair has two
 chances to stay together; after the last level, what is still too large is
-dealt into blocks, and every pair of blocks is compared. A node whose classes
-all belong to one component has nothing to add and ends early, so large groups
-of copies do not grow into pairs. Independent trees run in three rounds; a pair
-at the threshold is missed with a chance of 0.25 ** trees.
+dealt into random blocks, other ones in each tree. A node whose classes all
+belong to one component has nothing to add and ends early, so large groups of
+copies do not grow into pairs. Independent trees run in three rounds; a pair at
+the threshold is missed with a chance of 0.25 ** trees. Nodes that were dealt
+into blocks and still hold several components after that have every pair of
+their blocks compared.
 
 Cases: null, empty and wordless texts have an empty set, link with nothing and
 are kept; null ids count as the largest id and come back as null; rows that
@@ -184,8 +186,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, key: str = "doc_id
     )
     known = None  # cls, comp: components of classes linked so far, by the least class number
     rounds = [range(1), range(1, 4), range(4, TREES)]
-    for trees in rounds:
-        links = _links(plain, classes, known, trees, threshold)
+    dealt = False
+    for trees in [*rounds, None]:
+        if trees is None and not dealt:
+            break
+        links, some = _links(plain, classes, known, trees or range(TREES), threshold, whole=trees is None)
+        dealt = dealt or some
         edges = links if known is None else links.unionByName(known.select(F.col("cls").alias("a"), F.col("comp").alias("b")))
         known = save(components(edges).select(F.col("id").alias("cls"), "comp"), "linked")
     first_of = classes.join(known, "cls").groupBy("comp").agg(F.min("first._p_id").alias("least"))
@@ -200,30 +206,37 @@ def _paths(row_filter: DataFrame, known: DataFrame | None) -> DataFrame:
     return out.join(known, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 
-def _links(plain: DataFrame, classes: DataFrame, known: DataFrame | None, trees: range, threshold: float) -> DataFrame:
-    """Confirmed links ``a``, ``b`` that join every component found in these trees."""
+def _links(plain: DataFrame, classes: DataFrame, known: DataFrame | None, trees: range, threshold: float, whole: bool) -> tuple[DataFrame, bool]:
+    """Confirmed links ``a``, ``b`` that join every component found in these trees.
+
+    Also whether some node was dealt into blocks. With ``whole``, only such nodes
+    are looked at, and all pairs of their blocks.
+    """
     spark = classes.sparkSession
     parts = shuffle_partitions(spark)
     per_tree = 1 + 2 * (LEVELS - 1)
     token = lambda k: F.substring("paths", k * 8 + 1, 8)
     rows = _paths(classes, known)
     nodes = rows.select("cls", "comp", F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), token(t * per_tree)).alias("node")) for t in trees))).alias("n")).select("cls", "comp", "n.tree", "n.node")
-    open_nodes, ready = nodes, []
+    open_nodes, ready, dealt = nodes, [], False
     for level in range(LEVELS):
         # whole counts are made map-side; a node with one class or one component is done
         count = open_nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 1 AND lo <> hi").select("node", "n")
         mixed = save(open_nodes.join(count, "node"), "nodes")
         last = level == LEVELS - 1
-        ready.append(mixed.where(f"n <= {NODE}").select("node", "cls"))
+        if not whole:
+            ready.append(mixed.where(f"n <= {NODE}").select("node", "cls"))
         large = mixed.where(f"n > {NODE}")
         if not large.limit(1).count():
             break
         if last:
-            # every pair of blocks of a node that is still large
-            block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") * 2 / NODE)).cast("long")
-            spread = large.withColumn("block", block).withColumn("blocks", F.ceil(F.col("n") * 2 / NODE).cast("long"))
-            other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-            pairs = spread.select("cls", "node", "block", other.alias("other"))
+            dealt = True
+            blocks = F.ceil(F.col("n") * 2 / NODE).cast("long")
+            spread = large.withColumns({"block": F.pmod(F.xxhash64("cls", "node"), blocks), "blocks": blocks})
+            if not whole:
+                ready.append(spread.select(F.xxhash64("node", "block").alias("node"), "cls"))
+                break
+            pairs = spread.select("cls", "node", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
             ready.append(pairs.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "cls").distinct())
             break
         deeper = large.join(rows.select("cls", "paths"), "cls")
@@ -233,7 +246,7 @@ def _links(plain: DataFrame, classes: DataFrame, known: DataFrame | None, trees:
             chosen.append(F.when(F.col("tree") == t, F.array(token(base), token(base + 1))))
         open_nodes = deeper.select("cls", "comp", "tree", "node", F.explode(F.coalesce(*chosen)).alias("token")).select("cls", "comp", "tree", F.xxhash64("node", "token").alias("node"))
 
-    members = ready[0]
+    members = ready[0] if ready else nodes.select("node", "cls").limit(0)
     for more in ready[1:]:
         members = members.unionByName(more)
     # classes with a partner that sizes and sketches do not rule out
@@ -285,7 +298,7 @@ def _links(plain: DataFrame, classes: DataFrame, known: DataFrame | None, trees:
             if left:
                 yield pa.RecordBatch.from_pydict({"a": left, "b": right})
 
-    return save(armed.mapInArrow(confirmed, "a long, b long").distinct(), "links")
+    return save(armed.mapInArrow(confirmed, "a long, b long").distinct(), "links"), dealt
 
 
 def keep_first(docs: DataFrame, threshold: float = 0.75, key: str = "doc_id", text: str = "text") -> DataFrame:
