@@ -72,7 +72,7 @@ def inventory_cube(cells: DataFrame, reviews: DataFrame, batches: DataFrame, are
     }
     counties = areas.select(F.explode("county_geoids").alias("county")).distinct()
     full = spine(counties, decades_list)
-    done = batches.where("status <> 'planned'").groupBy(F.col("county_geoid").alias("county"), "decade").pivot("status", ["ready", "digitized"]).agg(F.count("*"))
+    done = batches.where("status <> 'planned'").groupBy(F.col("county_geoid").alias("county"), "decade").pivot("status", ["ready", "digitized"]).agg(F.count(F.lit(1)))
     return cube(each, ["county", "decade"], counters, full).join(done, ["county", "decade"], "left").fillna(0)
 
 

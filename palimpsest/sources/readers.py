@@ -67,7 +67,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     Line numbers need the file whole, so it is read as one text and exploded.
     """
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", "\n")).alias("n", "raw")).where(F.trim("raw") != "")
     row = F.from_json("raw", schema)
     return lines.select((F.col("n") + 1).alias("line"), F.try_parse_json("raw").isNull().alias("bad"), row.alias("r")).select("line", "bad", "r.*")
@@ -88,7 +88,7 @@ def yaml_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids of a small YAML manifest, read on the driver through Spark's file reader."""
     import yaml
 
-    text = spark.read.option("wholetext", True).text(path).first().value
+    text = spark.read.text(path, wholetext=True).first().value
     rows = yaml.safe_load(text) or []
     rows = rows.get("sources", []) if isinstance(rows, dict) else rows
     return spark.createDataFrame([(r["id"], r.get("title"), r.get("rights")) for r in rows], "id string, title string, rights string")
