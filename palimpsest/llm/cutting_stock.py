@@ -61,7 +61,8 @@ def solve(demand: np.ndarray, cut_price: float, gap: float = 5e-4, most: int = 6
     """Columns of a near-optimal basis with their values.
 
     Revised simplex with an explicit inverse. It stops when the best pattern is
-    worth at most 1 + gap, at which the bound of the duals is that close.
+    worth at most 1 + gap, at which the bound of the duals is that close, or when
+    the sequences are within twice the gap of what the lengths alone would fill.
     """
     m = len(demand)
     size = np.arange(1, m + 1)
@@ -75,10 +76,13 @@ def solve(demand: np.ndarray, cut_price: float, gap: float = 5e-4, most: int = 6
     cost = np.ones(m)
     b = demand + 1e-7 * (1 + demand.mean()) * (1 + np.sin(size))  # keeps ties of the ratio test apart
     x = inverse @ b
-    low, high = np.meshgrid(size, size)  # cut of class `high` that leaves `low`
-    rest = high - low
-    valid = rest >= low
+    low, high = np.meshgrid(size, size)
+    halves = 2 * low <= high  # a cut of class `high` into `low` and the rest
+    low, high = low[halves], high[halves]
+    filled = demand @ size / m
     for _ in range(most):
+        if cost @ x <= (1 + 2 * gap) * filled:
+            break
         price = cost @ inverse
         if price.min() < -1e-9:  # a slot may stay empty
             k = int(np.argmin(price))
@@ -87,10 +91,10 @@ def solve(demand: np.ndarray, cut_price: float, gap: float = 5e-4, most: int = 6
             a[k] = -1
         else:
             value, counts = best_pattern(price, m)
-            gain = np.where(valid, price[high - 1] - price[low - 1] - price[np.maximum(rest, 1) - 1], -1)
-            k = int(np.argmax(gain))
-            if gain.flat[k] - cut_price > max(value - 1, gap):
-                h, lo = int(high.flat[k]), int(low.flat[k])
+            gain = price[high - 1] - price[low - 1] - price[high - low - 1]
+            k = int(np.argmax(gain)) if len(gain) else -1
+            if k >= 0 and gain[k] - cut_price > max(value - 1, gap):
+                h, lo = int(high[k]), int(low[k])
                 kind, column, c = "cut", (h, lo), cut_price
                 a = np.zeros(m)
                 a[h - 1] += 1
