@@ -104,7 +104,7 @@ def pack(
         .select("part", "row", "doc_id", "doc_tokens", (F.col("_p_full") + F.col("full_before") + F.lit(used)).alias("_p_seq"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("_p_k"))
         .select("part", "row", "doc_id", "doc_tokens", (F.col("_p_k") * capacity).alias("start"), F.lit(capacity).cast("long").alias("length"), (F.col("_p_seq") + F.col("_p_k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     )
-    rows = [(s.source, s.low, s.high, s.offset, s.length, s.sequence, s.copies, s.first) for s in slots]
+    rows = [tuple(map(int, (s.source, s.low, s.high, s.offset, s.length, s.sequence, s.copies, s.first))) for s in slots]
     fields = ["low", "high", "offset", "length", "sequence", "copies", "first"]
     slot_table = spark.createDataFrame(rows, "cls int, " + ", ".join(f"{f} long" for f in fields))
     by_source = slot_table.groupBy("cls").agg(F.collect_list(F.struct(*fields)).alias("_p_slots"))  # bounded by the plan
