@@ -34,35 +34,44 @@ class Slot:
     first: int
 
 
-def best_pattern(price: np.ndarray, size: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: the most valuable multiset of classes 1..size."""
+def price_patterns(price: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: the value of each room up to size, and the class to take there."""
     value = np.zeros(size + 1)
     pick = np.zeros(size + 1, int)
     useful = np.flatnonzero(price > 1e-12) + 1
-    for c in range(1, size + 1):
-        fit = useful[: np.searchsorted(useful, c, "right")]
-        if len(fit):
-            got = value[c - fit] + price[fit - 1]
-            k = int(np.argmax(got))
-            value[c], pick[c] = got[k], fit[k]
-        if value[c - 1] >= value[c]:
-            value[c], pick[c] = value[c - 1], 0
-    counts, c = np.zeros(size, int), size
-    while c > 0:
-        if pick[c]:
-            counts[pick[c] - 1] += 1
-            c -= pick[c]
+    worth = price[useful - 1]
+    for c, n in zip(range(1, size + 1), np.searchsorted(useful, np.arange(1, size + 1), "right").tolist(), strict=True):
+        value[c] = value[c - 1]
+        if n:
+            got = value[c - useful[:n]]
+            got += worth[:n]
+            k = got.argmax()
+            if got[k] > value[c]:
+                value[c], pick[c] = got[k], useful[k]
+    return value, pick
+
+
+def pattern_of(pick: np.ndarray, room: int) -> np.ndarray:
+    """The multiset of classes that the knapsack takes for a room."""
+    counts = np.zeros(len(pick) - 1, int)
+    while room > 0:
+        if pick[room]:
+            counts[pick[room] - 1] += 1
+            room -= pick[room]
         else:
-            c -= 1
-    return value[size], counts
+            room -= 1
+    return counts
 
 
-def solve(demand: np.ndarray, cut_price: float, gap: float = 5e-4, most: int = 6000) -> list[tuple[str, np.ndarray | tuple[int, int], float]]:
+def solve(demand: np.ndarray, cut_price: float, gap: float = 5e-4, most: int = 6000, together: int = 8) -> list[tuple[str, np.ndarray | tuple[int, int], float]]:
     """Columns of a near-optimal basis with their values.
 
-    Revised simplex with an explicit inverse. It stops when the best pattern is
-    worth at most 1 + gap, at which the bound of the duals is that close, or when
-    the sequences are within twice the gap of what the lengths alone would fill.
+    Revised simplex with an explicit inverse. One knapsack prices the best
+    pattern around each class; up to ``together`` of them enter one after the
+    other while they still gain at the prices of that moment, and as many cuts.
+    It stops when the best pattern is worth at most 1 + gap, at which the bound
+    of the duals is that close, or when the sequences are within twice the gap
+    of what the lengths alone would fill.
     """
     m = len(demand)
     size = np.arange(1, m + 1)
@@ -74,50 +83,69 @@ def solve(demand: np.ndarray, cut_price: float, gap: float = 5e-4, most: int = 6
         columns.append(("pattern", a))
         inverse[k, k] = 1 / a[k]
     cost = np.ones(m)
-    b = demand + 1e-7 * (1 + demand.mean()) * (1 + np.sin(size))  # keeps ties of the ratio test apart
-    x = inverse @ b
+    x = inverse @ (demand + 1e-7 * (1 + demand.mean()) * (1 + np.sin(size)))  # keeps ties of the ratio test apart
+    price = cost @ inverse
     low, high = np.meshgrid(size, size)
     halves = 2 * low <= high  # a cut of class `high` into `low` and the rest
     low, high = low[halves], high[halves]
     filled = demand @ size / m
-    for _ in range(most):
-        if cost @ x <= (1 + 2 * gap) * filled:
-            break
-        price = cost @ inverse
-        if price.min() < -1e-9:  # a slot may stay empty
-            k = int(np.argmin(price))
-            kind, column, c = "empty", (k + 1, 0), 0.0
-            a = np.zeros(m)
-            a[k] = -1
-        else:
-            value, counts = best_pattern(price, m)
-            gain = price[high - 1] - price[low - 1] - price[high - low - 1]
-            k = int(np.argmax(gain)) if len(gain) else -1
-            if k >= 0 and gain[k] - cut_price > max(value - 1, gap):
-                h, lo = int(high[k]), int(low[k])
-                kind, column, c = "cut", (h, lo), cut_price
-                a = np.zeros(m)
-                a[h - 1] += 1
-                a[lo - 1] -= 1
-                a[h - lo - 1] -= 1
-            elif value > 1 + gap:
-                kind, column, c, a = "pattern", counts, 1.0, counts.astype(float)
-            else:
-                break
+    entered = 0
+
+    def enter(kind: str, column: object, c: float, a: np.ndarray, least: float) -> bool:
+        nonlocal price, x, entered
+        gain = price @ a - c
+        if gain <= least:
+            return False
         d = inverse @ a
         pos = np.flatnonzero(d > 1e-9)
         if not len(pos):
-            break
+            return False
         r = int(pos[np.argmin(x[pos] / d[pos])])
         step = x[r] / d[r]
         x -= step * d
         x[r] = step
         inverse[r] /= d[r]
-        others = d.copy()
-        others[r] = 0
-        inverse -= np.outer(others, inverse[r])
+        d[r] = 0
+        rows = np.flatnonzero(d)
+        inverse[rows] -= np.outer(d[rows], inverse[r])
+        price = price - gain * inverse[r]
         cost[r] = c
         columns[r] = (kind, column)
+        entered += 1
+        return True
+
+    while entered < most and cost @ x > (1 + 2 * gap) * filled:
+        before = entered
+        price = cost @ inverse  # afresh, so that rounding does not add up
+        if price.min() < -1e-9:  # a slot may stay empty
+            a = np.zeros(m)
+            k = int(np.argmin(price))
+            a[k] = -1
+            if not enter("empty", (k + 1, 0), 0.0, a, 0.0):
+                break
+            continue
+        value, pick = price_patterns(price, m)
+        gain = price[high - 1] - price[low - 1] - price[high - low - 1] - cut_price
+        worth = np.flatnonzero(gain > max(value[m] - 1, gap))
+        for k in worth[np.argsort(-gain[worth])[:together]]:
+            h, lo = int(high[k]), int(low[k])
+            a = np.zeros(m)
+            a[h - 1] += 1
+            a[lo - 1] -= 1
+            a[h - lo - 1] -= 1
+            enter("cut", (h, lo), cut_price, a, gap)
+        around = price + value[m - size]  # the best pattern with each class
+        tried: set[bytes] = set()
+        for k in np.argsort(-around)[: 4 * together]:
+            if around[k] <= 1 + gap or len(tried) == together:
+                break
+            counts = pattern_of(pick, m - int(k) - 1)
+            counts[k] += 1
+            if counts.tobytes() not in tried:
+                tried.add(counts.tobytes())
+                enter("pattern", counts, 1.0, counts.astype(float), gap)
+        if entered == before:
+            break
     return [(kind, column, float(v)) for (kind, column), v in zip(columns, x, strict=True)]
 
 
