@@ -14,6 +14,7 @@ import numpy as np
 
 DECAY = 0.6
 SPAN = 6
+HITS = 50_000
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 PUNCTUATION = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
@@ -36,6 +37,42 @@ def norm(features: dict[int, float]) -> float:
     return sum(v * v for v in features.values()) ** 0.5
 
 
+def norms(text: np.ndarray, start: np.ndarray, size: np.ndarray, words: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """Norms of the words that begin at ``start`` in ``text``.
+
+    ``distinct`` has the squared norm that holds where no letter repeats; only
+    for other words are equal triples brought together, by sorting integers of
+    word, triple and span.
+    """
+    square = distinct[words].copy()
+    letters, text = np.unique(text, return_inverse=True)
+    bits = max(1, int(len(letters) - 1).bit_length())
+    owner = np.repeat(np.arange(len(words)), size[words])
+    at = np.repeat(start[words] - np.cumsum(size[words]) + size[words], size[words]) + np.arange(len(owner))
+    pairs = np.sort(owner * len(letters) + text[at])
+    again = np.unique(pairs[1:][pairs[1:] == pairs[:-1]] // len(letters))
+    most = max(1, min(20_000, 1 << max(0, 61 - 3 * bits)))
+    for lo in range(0, len(again), most):
+        some = words[again[lo : lo + most]]
+        n = size[some]
+        row = np.repeat(np.arange(len(some)), n)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        own = text[np.repeat(start[some], n) + place].astype(np.int64)
+        left = n[row] - place
+        keys = []
+        for a, b in GAPS:
+            i = np.flatnonzero(left > a + b)
+            code = own[i] << 2 * bits | own[i + a] << bits | own[i + a + b]
+            keys.append((row[i] << 3 * bits | code) << 2 | (a + b - 2))
+        key = np.sort(np.concatenate(keys))
+        group = key >> 2
+        if len(key):
+            new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            sums = np.add.reduceat(DECAY ** ((key & 3) + 3.0), new)
+            square[again[lo : lo + most]] = np.bincount(group[new] >> 3 * bits, sums * sums, len(some))
+    return np.sqrt(np.where(square > 0, square, 1.0))
+
+
 class Landmarks:
     """Similarities of many words to a list of landmark words."""
 
@@ -100,19 +137,17 @@ class Landmarks:
         row = np.full(len(words), -1)
         row[near] = np.arange(len(near))
         use = row[word_at] >= 0
+        order = np.argsort(row[word_at[use]], kind="stable")
+        r, t, v = row[word_at[use]][order], triple[use][order], weight[use][order]
+        first = np.searchsorted(r, np.arange(len(near) + 1))
         out = np.zeros((len(near), len(self.words)))
-        flat = np.bincount(row[word_at[use]] * len(self.triples) + triple[use], weight[use]) if len(near) * len(self.triples) < 4_000_000 else None
-        if flat is not None:
-            dense = np.zeros(len(near) * len(self.triples))
-            dense[: len(flat)] = flat
-            out = dense.reshape(len(near), len(self.triples)) @ self.table
-        else:
-            order = np.argsort(row[word_at[use]], kind="stable")
-            r, t, v = row[word_at[use]][order], triple[use][order], weight[use][order]
-            for lo in range(0, len(r), 200_000):
-                np.add.at(out, r[lo : lo + 200_000], v[lo : lo + 200_000, None] * self.table[t[lo : lo + 200_000]])
-        norms = np.array([norm(phi(words[k].decode("utf-8", "replace"))) or 1.0 for k in near])
-        out /= norms[:, None] if len(near) else 1.0
+        lo = 0
+        while lo < len(near):
+            hi = max(lo + 1, int(np.searchsorted(first, first[lo] + HITS, side="right")) - 1)
+            part = slice(first[lo], first[hi])
+            out[lo:hi] = np.add.reduceat(v[part, None] * self.table[t[part]], first[lo:hi] - first[lo])
+            lo = hi
+        out /= norms(text, np.cumsum(size + 1) - size - 1, size, near, least)[:, None]
         out[out < self.floor] = 0.0
         some = np.flatnonzero(out.any(axis=1))
         return near[some], out[some]
