@@ -1,17 +1,23 @@
-"""Removal of repeated runs of lines by winnowing (operator 1).
-
-Units are lines, cut further after sentence ends so that a passage set inside
-a longer line is still seen. From each unit on, the shortest run of units with
-``min_words`` words is a window; the unit with the least hash in it is its
-fingerprint. Two documents that share a run of ``min_words`` words therefore
-share a fingerprint inside an equal window. Fingerprints that occur once are
-dropped after a count; the windows of the others are grouped by fingerprint
-and content, and each occurrence but the first, in order of document id and
-position, is extended both ways along the first one. What it covers is deleted.
-No pairs within a group are made: each occurrence meets one partner.
-
-The earliest occurrence of every unit's text stays, as each deletion points to
-an earlier place.
+"""Removal of repeated passages by winnowing (operator 1).
+
+Units are words, split at ASCII white space. A window is a run of ``min_words``
+words; its fingerprint is the least hash among the k-grams in it, k being about
+half of it, so that equal windows have equal fingerprints wherever they stand
+in a line or a sentence. Fingerprints selected at one place only are dropped
+after a count. The windows that select one place are a block. Of each repeated
+fingerprint, equal blocks are compared first and each but the first, in order
+of document id and position, is deleted. Where a fingerprint has blocks of
+several contents, as at the edges of a passage, the windows of the first block
+of each content are compared one by one in the same way. A window is so deleted
+just if an equal one is earlier; windows overlap word by word, and a repeated
+passage of ``min_words`` words or more goes from its first word to its last. No
+pairs within a group are made: each occurrence meets the first one.
+
+The tasks know the repeated fingerprints by a table of ``_BITS`` bits; that it
+takes others for repeated costs time, as they meet no equal content.
+
+The earliest occurrence of every word's text stays, as each deletion points to
+an earlier place; of a passage that repeats with a period, one period stays.
 
 Cases: null texts are empty and are not changed; null ids sort last; rows that
 agree in id and text are one document and come out alike; a text that is wholly
@@ -28,99 +34,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import id_of, read, save, text_of
-from palimpsest.llm.textblocks import SPACE, binary_rows, buffer_of, encode_runs, hash_values, mix, slices
+from palimpsest.llm.common import id_of, read, remove, save, text_of
+from palimpsest.llm.textblocks import SPACE, binary_rows, buffer_of, hash_values, mix, slices, words_of
 
-_END = np.zeros(256, bool)
-_END[[0x21, 0x2E, 0x3F]] = True
 _ODD = 0x9E3779B97F4A7C15
+_BITS = 1 << 25
+_SLICE = 4 << 20
 
 
-def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, text bounds in bytes, unit starts, and text bounds in units."""
+def word_starts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, text bounds in bytes, word starts, and text bounds in words."""
     raw, at = buffer_of(texts)
-    if not len(raw):
-        return raw, at, np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    begin = np.zeros(len(raw), bool)
-    begin[1:] = raw[:-1] == 0x0A
-    begin[2:] |= (raw[1:-1] == 0x20) & _END[raw[:-2]]
-    begin[at[:-1][at[:-1] < len(raw)]] = True
+    gap = SPACE[raw]
+    begin = ~gap
+    begin[1:] &= gap[:-1]
+    heads = at[:-1][at[:-1] < len(raw)]
+    begin[heads] = ~gap[heads]
     starts = np.flatnonzero(begin)
     return raw, at, starts, np.searchsorted(starts, at)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: hashes and word counts of its units."""
-    for batch in batches:
-        for part in slices(batch, "_p_text"):
-            raw, at, starts, bounds = units(part.column("_p_text"))
-            if len(raw):
-                codes, values = encode_runs(raw, starts)
-                trimmed = pa.array([v.strip() for v in values.to_pylist()], pa.large_binary())
-                hashes = hash_values(trimmed)[codes]
-                gap = SPACE[raw]
-                first = ~gap
-                first[1:] &= gap[:-1]
-                first[at[:-1][at[:-1] < len(raw)]] = ~gap[at[:-1][at[:-1] < len(raw)]]
-                count = np.add.reduceat(first.astype(np.int32), starts)
-            else:
-                hashes, count = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-            sizes = np.diff(bounds)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("_p_id"), part.column("_p_hash"), binary_rows(hashes, sizes).cast(pa.binary()), binary_rows(count.astype(np.int32), sizes).cast(pa.binary())],
-                names=["_p_id", "_p_hash", "hashes", "counts"],
-            )
+def least(values: np.ndarray, width: int) -> np.ndarray:
+    """Position of the first least value in each run of ``width`` values."""
+    at, step = np.arange(len(values)), 1
+    while step < width:
+        by = min(step, width - step)
+        left, right = at[:-by], at[by:]
+        at = np.where(values[right] < values[left], right, left)
+        step += by
+    return at
+
 
+class Windows:
+    """Runs of ``size`` words in a batch of texts: ``start``, ``text``, ``fingerprint``."""
 
-class Runs:
-    """Windows of the units of a batch of documents."""
-
-    def __init__(self, hashes: pa.Array, counts: pa.Array, min_words: int):
-        flat, at = buffer_of_binary(hashes)
-        self.hash = np.frombuffer(flat, np.uint64)
-        self.words = np.frombuffer(buffer_of_binary(counts)[0], np.int32).astype(np.int64)
-        self.bounds = at // 8
-        n = len(self.hash)
-        self.text = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
-        self.total = np.concatenate([[0], np.cumsum(self.words)])
-        self.last = self.bounds[1:][self.text] if n else np.zeros(0, np.int64)
-        self.first = self.bounds[:-1][self.text] if n else np.zeros(0, np.int64)
-        # end of the window that begins at each unit; past the text's end: none
-        self.end = np.searchsorted(self.total, self.total[:-1] + min_words)
-        self.start = np.flatnonzero(self.end <= self.last)
-        self.min_words = min_words
-
-    def fingerprints(self) -> np.ndarray:
-        """Position of the least hash in each window of ``start``."""
-        best = self.start.copy()
-        live = np.arange(len(best))
-        step = 1
-        while len(live):
-            at = self.start[live] + step
-            live, at = live[at < self.end[self.start[live]]], at[at < self.end[self.start[live]]]
-            better = self.hash[at] < self.hash[best[live]]
-            best[live[better]] = at[better]
-            step += 1
-        return best
-
-    def contents(self) -> np.ndarray:
-        """Hash of each window's unit hashes in their order."""
-        n = len(self.hash)
-        power = np.ones(n + 1, np.uint64)
-        inverse = np.ones(n + 1, np.uint64)
+    def __init__(self, texts: pa.Array, size: int):
+        words = words_of(texts)
+        self.bounds, n = words.bounds, len(words.codes)
+        last = np.repeat(self.bounds[1:], np.diff(self.bounds))
+        self.start = np.flatnonzero(np.arange(size, n + size) <= last)
+        self.text = np.searchsorted(self.bounds, self.start, "right") - 1
+        self.size, span = size, size // 2 + 1
         with np.errstate(over="ignore"):
-            power[1:] = np.cumprod(np.full(n, _ODD, np.uint64))
-            inverse[1:] = np.cumprod(np.full(n, pow(_ODD, -1, 1 << 64), np.uint64))
-            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.hash) * power[:-1], dtype=np.uint64)])
-            return mix((prefix[self.end[self.start]] - prefix[self.start]) * inverse[self.start])
+            self._inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(_ODD, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
+            power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _ODD, np.uint64)]), dtype=np.uint64)
+            hashes = mix(hash_values(words.values))[words.codes]
+            self._prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)])
+        if len(self.start):
+            grams = self._hash(np.arange(n - size + span), size - span + 1)
+            self.place = least(grams, span)[self.start]
+            self.fingerprint = grams[self.place]
+        else:
+            self.place, self.fingerprint = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def _hash(self, at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self._prefix[at + length] - self._prefix[at]) * self._inverse[at])
+
+    def blocks(self) -> np.ndarray:
+        """First window of each block, in ``start``, and the end of the last."""
+        return np.append(np.flatnonzero(np.diff(self.place, prepend=-1)), len(self.start))
 
-    def before(self, at: np.ndarray) -> np.ndarray:
-        """First unit of the context that leads up to each position."""
-        low = np.searchsorted(self.total, self.total[at] - self.min_words, "right") - 1
-        return np.maximum(low, self.first[np.minimum(at, len(self.hash) - 1)])
+    def selected(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct fingerprints and at how many places they are selected."""
+        return np.unique(self.fingerprint[self.blocks()[:-1]], return_counts=True)
 
-    def after(self, at: np.ndarray, text_end: np.ndarray) -> np.ndarray:
-        return np.minimum(np.searchsorted(self.total, self.total[at] + self.min_words), text_end)
+    def contents(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hashes of the words from window ``first`` to the end of ``last``."""
+        size = self.start[last] - self.start[first] + self.size
+        return mix(self._hash(self.start[first], size) ^ size.astype(np.uint64))
 
 
 def buffer_of_binary(values: pa.Array) -> tuple[bytes, np.ndarray]:
@@ -134,87 +116,108 @@ def buffer_of_binary(values: pa.Array) -> tuple[bytes, np.ndarray]:
     return raw, at - at[0]
 
 
-def _lists(flat: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
-    size = last - first
-    at = np.concatenate([[0], np.cumsum(size)])
-    take = np.repeat(first - at[:-1], size) + np.arange(at[-1])
-    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat[take].view(np.int64)))
+def _table(fps: DataFrame) -> np.ndarray:
+    """Bits of the fingerprints in ``fps``, as 64-bit numbers."""
+    shift = 64 - (_BITS.bit_length() - 1)
+    bit = f"shiftrightunsigned(fp, {shift})"
+    got = fps.selectExpr(f"cast(shiftrightunsigned({bit}, 6) AS int) AS at", f"shiftleft(1L, cast({bit} & 63 AS int)) AS b").groupBy("at").agg(F.bit_or("b").alias("b")).toArrow()  # at most _BITS / 64 rows
+    out = np.zeros(_BITS // 64, np.int64)
+    out[got.column("at").to_numpy()] = got.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def _held(table: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    bit = fps >> np.uint64(64 - (_BITS.bit_length() - 1))
+    return (table[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word ranges of each document apart and in order."""
+    for b in batches:
+        spans = b.column("spans")
+        doc = np.repeat(np.arange(b.num_rows), spans.value_lengths().to_numpy())
+        start, end = (x.to_numpy().astype(np.int64) for x in spans.flatten().flatten())
+        order = np.lexsort((start, doc))
+        doc, start = doc[order], start[order]
+        reach = np.maximum.accumulate((doc << 32) + end[order]) if len(doc) else doc
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] << 32) + start[1:] > reach[:-1]
+        first = np.flatnonzero(new)
+        ends = reach[np.append(first[1:], len(doc)) - 1] & 0xFFFFFFFF
+        pairs = pa.StructArray.from_arrays([pa.array(start[first].astype(np.int32)), pa.array(ends.astype(np.int32))], ["start", "end"])
+        offsets = np.searchsorted(doc[first], np.arange(b.num_rows + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column("_p_id"), b.column("_p_hash"), pa.ListArray.from_arrays(pa.array(offsets), pairs)], names=["_p_id", "_p_hash", "runs"])
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 30, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Unit ranges to delete: ``_p_id``, ``_p_hash`` (of the text) and ``runs``, merged and in order."""
+    """Word ranges to delete: ``_p_id``, ``_p_hash`` (of the text) and ``runs``, merged and in order."""
     plain = docs.select(id_of(docs, key).alias("_p_id"), F.xxhash64(text_of(docs, text)).alias("_p_hash"), text_of(docs, text).alias("_p_text"))
-    lines = save(plain.mapInArrow(_lines, "_p_id long, _p_hash long, hashes binary, counts binary"), "line-hashes")
 
     def selected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            runs = Runs(b.column("hashes"), b.column("counts"), min_words)
-            at = np.unique(runs.fingerprints())
-            text = runs.text[at]
-            yield pa.RecordBatch.from_arrays([pa.array(runs.hash[at].view(np.int64)), b.column("_p_id").take(pa.array(text)), b.column("_p_hash").take(pa.array(text))], names=["fp", "_p_id", "_p_hash"])
+        for batch in batches:
+            for part in slices(batch, "_p_text", _SLICE):
+                fps, n = Windows(part.column("_p_text"), min_words).selected()
+                yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array(n)], names=["fp", "n"])
+
+    marks = plain.select("_p_text").mapInArrow(selected, "fp long, n long")
+    context = docs.sparkSession.sparkContext
+    table = context.broadcast(_table(marks.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1")))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_p_text", _SLICE):
+                w = Windows(part.column("_p_text"), min_words)
+                edges = w.blocks()
+                keep = np.flatnonzero(_held(table.value, w.fingerprint[edges[:-1]]))
+                first, last = edges[:-1][keep], edges[1:][keep] - 1
+                doc, size = w.text[first], last - first + 1
+                each = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                start = w.start[first] - w.bounds[doc]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(w.fingerprint[first].view(np.int64)),
+                        pa.array(w.contents(first, last).view(np.int64)),
+                        part.column("_p_id").take(pa.array(doc)),
+                        part.column("_p_hash").take(pa.array(doc)),
+                        pa.array(start.astype(np.int32)),
+                        pa.array((start + size - 1 + min_words).astype(np.int32)),
+                        binary_rows(w.contents(each, each), size).cast(pa.binary()),
+                    ],
+                    names=["fp", "content", "_p_id", "_p_hash", "start", "end", "windows"],
+                )
 
-    marks = lines.mapInArrow(selected, "fp long, _p_id long, _p_hash long")
-    again = marks.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    wanted = marks.join(again, "fp").groupBy("_p_id", "_p_hash").agg(F.collect_set("fp").alias("fps"))
+    place = F.struct("_p_id", "_p_hash", "start")
+    found = save(plain.mapInArrow(blocks, "fp long, content long, _p_id long, _p_hash long, start int, end int, windows binary"), "word-blocks")
+    kinds = save(found.groupBy("fp", "content").agg(F.min(place).alias("first"), F.first("windows").alias("windows"), F.count("*").alias("n")), "first-blocks")
+    mixed = context.broadcast(_table(kinds.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            runs = Runs(b.column("hashes"), b.column("counts"), min_words)
-            best, content = runs.fingerprints(), runs.contents()
-            fps = b.column("fps")
-            owner = np.repeat(np.arange(b.num_rows), np.diff(fps.offsets.to_numpy()))
-            sought = np.asarray(fps.flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
-            pairs = np.sort(mix(sought) ^ mix(owner.astype(np.uint64)))
-            mine = mix(runs.hash[best]) ^ mix(runs.text[best].astype(np.uint64))
-            at = np.minimum(np.searchsorted(pairs, mine), max(len(pairs) - 1, 0))
-            keep = np.flatnonzero(pairs[at] == mine) if len(pairs) else np.zeros(0, int)
-            start = runs.start[keep]
-            end, doc = runs.end[start], runs.text[start]
-            low, last = runs.bounds[:-1][doc], runs.bounds[1:][doc]
-            # a context of min_words words is enough: what is longer has a window of its own
-            head = _lists(runs.hash, runs.before(start) if len(start) else start, start)
-            tail = _lists(runs.hash, end, runs.after(end, last))
+            b = b.filter(pa.array(_held(mixed.value, b.column("fp").to_numpy().view(np.uint64))))
+            raw, at = buffer_of_binary(b.column("windows"))
+            size = np.diff(at) // 8
+            row = np.repeat(np.arange(b.num_rows), size)
+            start = b.column("start").to_numpy()[row] + np.arange(len(row)) - (at[:-1] // 8)[row]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(runs.hash[best[keep]].view(np.int64)),
-                    pa.array(content[keep].view(np.int64)),
-                    b.column("_p_id").take(pa.array(doc)),
-                    b.column("_p_hash").take(pa.array(doc)),
-                    pa.array((start - low).astype(np.int32)),
-                    pa.array((end - low).astype(np.int32)),
-                    head,
-                    tail,
-                ],
-                names=["fp", "content", "_p_id", "_p_hash", "start", "end", "head", "tail"],
+                [*(b.column(c).take(pa.array(row)) for c in ("fp", "_p_id", "_p_hash")), pa.array(np.frombuffer(raw, np.int64)), pa.array(start.astype(np.int32)), pa.array((start + min_words).astype(np.int32))],
+                names=["fp", "_p_id", "_p_hash", "content", "start", "end"],
             )
 
-    schema = "fp long, content long, _p_id long, _p_hash long, start int, end int, head array<long>, tail array<long>"
-    found = save(lines.join(wanted, ["_p_id", "_p_hash"]).mapInArrow(windows, schema), "line-windows")
-    place = F.struct("_p_id", "_p_hash", "start")
-    firsts = found.groupBy("fp", "content").agg(F.min(place).alias("first"), F.min_by(F.struct("head", "tail"), place).alias("context"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(firsts, ["fp", "content"]).where(place != F.col("first"))
-    forward = F.expr("array_position(zip_with(tail, context.tail, (a, b) -> coalesce(a = b, false)), false)")
-    backward = F.expr("array_position(zip_with(reverse(head), reverse(context.head), (a, b) -> coalesce(a = b, false)), false)")
-    spans = (
-        later.withColumns({"f": forward, "b": backward})
-        .select(
-            "_p_id",
-            "_p_hash",
-            (F.col("start") - F.when(F.col("b") == 0, F.greatest(F.size("head"), F.size("context.head"))).otherwise(F.col("b") - 1)).cast("int").alias("start"),
-            (F.col("end") + F.when(F.col("f") == 0, F.greatest(F.size("tail"), F.size("context.tail"))).otherwise(F.col("f") - 1)).cast("int").alias("end"),
-        )
-        .groupBy("_p_id", "_p_hash")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
-    )
-    merged = """aggregate(s, cast(array() AS array<struct<start:int,end:int>>), (out, x) ->
-         CASE WHEN size(out) > 0 AND x.start <= element_at(out, -1).end
-              THEN concat(slice(out, 1, size(out) - 1), array(named_struct('start', element_at(out, -1).start, 'end', greatest(element_at(out, -1).end, x.end))))
-              ELSE concat(out, array(x)) END)"""
-    return spans.select("_p_id", "_p_hash", F.expr(merged).alias("runs"))
+    def later(rows: DataFrame, known: DataFrame) -> DataFrame:
+        return rows.drop("windows").join(known, ["fp", "content"]).where(place != F.col("first")).select("_p_id", "_p_hash", "start", "end")
+
+    edge = save(kinds.select("fp", "windows", "first.*").mapInArrow(windows, "fp long, _p_id long, _p_hash long, content long, start int, end int"), "edge-windows")
+    whole = save(later(found, kinds.where("n > 1").select("fp", "content", "first")), "later-blocks")
+    remove(found)
+    remove(kinds)
+    firsts = save(edge.groupBy("fp", "content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-windows")
+    spans = whole.unionByName(later(edge, firsts))
+    spans = spans.groupBy("_p_id", "_p_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return spans.mapInArrow(_merged, "_p_id long, _p_hash long, runs array<struct<start:int,end:int>>")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 30, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with repeated runs cut out of ``text``, and ``_p_runs`` (null where nothing was)."""
+    """``docs`` with repeated passages cut out of ``text``, and ``_p_runs`` (null where nothing was)."""
     runs = repeated_runs(docs, min_words, key, text).select(F.col("_p_id").alias("_p_rid"), F.col("_p_hash").alias("_p_rhash"), F.col("runs").alias("_p_runs"))
     fields = docs.columns
 
@@ -225,12 +228,12 @@ def dedup_lines(docs: DataFrame, min_words: int = 30, key: str = "doc_id", text:
                 touched = [k for k, r in enumerate(runs) if r]
                 if touched:
                     new = column.to_pylist()
-                    raw, at, starts, bounds = units(column)
+                    raw, at, starts, bounds = word_starts(column)
                     data, edges = raw.tobytes(), np.append(starts, len(raw))
                     for k in touched:
                         kept, pos = [], int(at[k])
                         for r in runs[k]:
-                            a, b = int(edges[bounds[k] + r["start"]]), min(int(edges[bounds[k] + r["end"]]), int(at[k + 1]))
+                            a, b = int(edges[bounds[k] + r["start"]]) if r["start"] else pos, min(int(edges[bounds[k] + r["end"]]), int(at[k + 1]))
                             kept.append(data[pos:a])
                             pos = b
                         kept.append(data[pos : int(at[k + 1])])
@@ -246,7 +249,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 30, key: str = "doc_id", text:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: the unit ranges deleted, and the text that stays as length and hash."""
+    """Per document: how many words (the units) and runs of them are deleted, and the text that stays as length and hash."""
     out = dedup_lines(read(spark, sf_dir, "documents"))
     deleted = F.expr("aggregate(_p_runs, 0L, (n, r) -> n + r.end - r.start)")
     return out.select(

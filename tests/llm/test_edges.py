@@ -273,3 +273,39 @@ def test_lm_scores(spark, docs, none):
     assert {r.n_tokens for r in rows if r.doc_id in (2, 3, 9)} == {1}
     assert {r.train_tokens for r in rows} == {120 * 3 + 9000 + 6}
     assert lm_score(none.withColumn("_p_learn", F.lit(True)), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_line_dedup_cuts_inside_sentences(spark):
+    plain = prose(60, 300)  # no mark in it
+    marked = ". ".join(prose(13, 310 + k) for k in range(5))
+    cut = " ".join(marked.split()[4:-5])  # begins and ends inside a sentence
+    around = [prose(9, 320 + k) for k in range(8)]
+    rows = [
+        (1, f"{around[0]} {plain} {around[1]}. {around[2]} {cut} {around[3]}."),
+        (2, f"{around[4]} {cut} {around[5]}"),
+        (3, f"{around[6]}\n{plain}\n{around[7]}"),
+        (4, f"  {plain}  "),
+        (5, "la " * 70 + "end"),
+        (6, " ".join(plain.split()[:29])),
+    ]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(t).collect()}
+    assert out[1] == rows[0][1] and out[2] == f"{around[4]} {around[5]}" and out[3] == f"{around[6]}\n{around[7]}"
+    assert out[4] == "" and out[5] == "la end" and out[6] == rows[5][1]
+
+
+def test_line_dedup_equals_brute_force(spark):
+    r = random.Random(8)
+    pool = [prose(r.randint(5, 90), 400 + k).split() for k in range(12)]
+    rows = [(k, sum((r.choice(pool)[r.randint(0, 4) :] if r.random() < 0.7 else r.choices(WORDS, k=11) for _ in range(5)), [])) for k in range(40)]
+    seen, gone = set(), {}
+    for k, words in rows:
+        dead = set()
+        for s in range(len(words) - 29):
+            window = tuple(words[s : s + 30])
+            dead |= set(range(s, s + 30)) if window in seen else set()
+            seen.add(window)
+        gone[k] = " ".join(w for j, w in enumerate(words) if j not in dead)
+    t = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string").repartition(5)
+    out = {x.doc_id: x.text.strip() for x in line_dedup.dedup_lines(t).collect()}
+    assert out == gone and sum(len(v) for v in gone.values()) < sum(len(" ".join(w)) for _, w in rows)
