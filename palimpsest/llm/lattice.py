@@ -145,14 +145,35 @@ class Lattice:
                 del alpha[0]
         return alpha[-1]
 
-    def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in words seen ``counts`` times.
+    def _long_uses(self, word: str, weight: float, out: np.ndarray) -> None:
+        """Adds the expected uses in one long word, with the sums of all its positions held."""
+        text = MARK + word
+        n = len(text)
+        spelled = [len(c.encode("utf-8", "surrogatepass")) * self.byte for c in text]
+        alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        alpha[0] = beta[n] = 0
+        for j in range(1, n + 1):
+            alpha[j] = alpha[j - 1] + spelled[j - 1]
+            for i in range(max(0, j - self.longest), j):
+                k = self.by_text.get(text[i:j])
+                if k is not None:
+                    alpha[j] = np.logaddexp(alpha[j], alpha[i] + self.log[k])
+        for j in range(n, 0, -1):
+            for i in range(max(0, j - self.longest), j):
+                k = self.by_text.get(text[i:j])
+                if k is not None:
+                    step = self.log[k] + beta[j]
+                    out[k] += np.exp(alpha[i] + step - alpha[n]) * weight
+                    beta[i] = np.logaddexp(beta[i], step)
+            beta[j - 1] = np.logaddexp(beta[j - 1], beta[j] + spelled[j - 1])
 
-        Words of more than 200 characters have too little weight to teach a piece.
-        """
+    def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in words seen ``counts`` times."""
         out = np.zeros(len(self.pieces))
         for rows, codes in self._batches(words):
             if codes.shape[1] > 200:
+                for r in rows:
+                    self._long_uses(words[r], counts[r], out)
                 continue
             arcs, spelled = self._arcs(codes)
             alpha = self._forward(arcs, spelled)

@@ -309,3 +309,22 @@ def test_line_dedup_equals_brute_force(spark):
     t = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string").repartition(5)
     out = {x.doc_id: x.text.strip() for x in line_dedup.dedup_lines(t).collect()}
     assert out == gone and sum(len(v) for v in gone.values()) < sum(len(" ".join(w)) for _, w in rows)
+
+
+def test_long_words_teach_pieces():
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "▁ab"]
+    w = np.array([1, 2, 3, 4, 5, 6, 7.0])
+    lattice = Lattice(pieces, w / w.sum(), 0.1)
+    word = "".join(random.Random(7).choices("abé", k=5000))
+    uses = lattice.expected([word, "ab"], np.array([2.0, 1.0])) - lattice.expected(["ab"], np.ones(1))
+    step = 1e-6
+    for k in range(len(pieces)):  # expected uses are the derivative of the log likelihood
+        lattice.log[k] += step
+        up = lattice.marginals([word])[0]
+        lattice.log[k] -= 2 * step
+        down = lattice.marginals([word])[0]
+        lattice.log[k] += step
+        assert np.isclose(2 * (up - down) / (2 * step), uses[k], rtol=1e-3, atol=1e-3)
+    short, out = "abba" * 20, np.zeros(len(pieces))
+    lattice._long_uses(short, 3.0, out)
+    assert np.allclose(out, lattice.expected([short], np.array([3.0])))
