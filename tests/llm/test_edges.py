@@ -328,3 +328,14 @@ def test_long_words_teach_pieces():
     short, out = "abba" * 20, np.zeros(len(pieces))
     lattice._long_uses(short, 3.0, out)
     assert np.allclose(out, lattice.expected([short], np.array([3.0])))
+
+
+def test_names_outside_the_list():
+    text = "Mr Smith met Frau Jennifer, Mrs. Okafor-O’Neil, Anna Schmidt, Herr Jürgen Groß and Mr 王. Ms Zoë Иванова left. Мария Петрова and Mr Smith again."
+    new, spans = pii.replace(text, b"key")
+    for gone in ("Smith", "Jennifer", "Okafor", "O’Neil", "Anna", "Schmidt", "Jürgen", "Groß", "王", "Zoë", "Иванова", "Мария", "Петрова"):
+        assert gone not in new
+    smith = re.match(r"Mr (\w+) met Frau [A-Z]", new)[1]
+    assert len(spans) == 13 and f"Mr {smith} again." in new
+    assert surrogates.GENDER[re.search(r"Herr (\w+) ", new)[1]] == ("latin", "m") and surrogates.GENDER[re.search(r"Ms (\w+) ", new)[1]] == ("latin", "f")
+    assert len({surrogates.surrogate("surname", a + b, b"key") for a in "ABCDEFGH" for b in "abcdefgh"}) == 64
