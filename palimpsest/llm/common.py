@@ -59,6 +59,30 @@ def remove(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the caller's columns that start with ``_p_`` renamed, and their names.
+
+    So internal columns never meet the caller's, whatever these are called.
+    """
+    taken = {c.lower() for c in df.columns}
+    names: dict[str, str] = {}
+    for c in df.columns:
+        if c.lower().startswith("_p_"):
+            k = 0
+            while f"_o{k}_{c}".lower() in taken:
+                k += 1
+            names[f"_o{k}_{c}"] = c
+            taken.add(f"_o{k}_{c}".lower())
+    return df.withColumnsRenamed({c: new for new, c in names.items()}), names
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The caller's names again; a result of the operator replaces a column of its name."""
+    have = {c.lower() for c in df.columns}
+    lost = [new for new, c in names.items() if c.lower() in have]
+    return df.drop(*lost).withColumnsRenamed({new: c for new, c in names.items() if new not in lost})
+
+
 def text_of(df: DataFrame, text: str) -> Column:
     return F.coalesce(df[text].cast("string"), F.lit(""))
 

@@ -14,7 +14,10 @@ documents, the first by hash of id, and never at the held-out fold.
 Cases: null and empty texts have no words and get the score of the intercept;
 repeated labels of an id count once, toxic if any says so; null labels and ids
 teach nothing; without labels of both kinds all scores are 0; texts are read
-whole, whatever their length.
+whole, whatever their length, some 4 MB of them at a time; rows of one text get
+one score, and so do repeated rows; a caller's column ``_p_score`` is replaced;
+an empty table stays empty. Landmarks have three characters at least, as the
+kernel compares triples; shorter insults are not learned.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from palimpsest.llm.common import read, save, text_of
+from palimpsest.llm.common import aside, read, restored, save, text_of
 from palimpsest.llm.string_kernel import Landmarks, clean, norm, phi
 from palimpsest.llm.textblocks import slices, words_of
 
@@ -77,6 +80,7 @@ def pooled(texts: pa.Array, marks: Landmarks) -> np.ndarray:
 
 
 STEM = 5
+_SLICE = 4 << 20
 
 
 @dataclass
@@ -167,7 +171,7 @@ def fit(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_p_text"):
+            for part in slices(batch, "_p_text", _SLICE):
                 values, codes, where = _bag(part.column("_p_text"))
                 if not values:
                     continue
@@ -182,7 +186,7 @@ def fit(
                 hit = np.bincount(pairs[toxic] // part.num_rows, minlength=len(terms))
                 miss = np.bincount(pairs[~toxic] // part.num_rows, minlength=len(terms))
                 names = list(terms)
-                use = [k for k in np.flatnonzero(hit + miss) if len(names[k]) > 3]
+                use = [k for k in np.flatnonzero(hit + miss) if len(names[k]) > 2]
                 yield pa.RecordBatch.from_pydict({"word": [names[k] for k in use], "hit": hit[use].astype(np.int64), "miss": miss[use].astype(np.int64)})
 
     totals = {r["_p_y"]: r["n"] for r in few.where("_p_half = 0").groupBy("_p_y").agg(F.count("*").alias("n")).collect()}
@@ -199,7 +203,7 @@ def fit(
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Landmarks(marks, floor)
         for batch in batches:
-            for part in slices(batch, "_p_text"):
+            for part in slices(batch, "_p_text", _SLICE):
                 x = pooled(part.column("_p_text"), space)
                 yield pa.RecordBatch.from_arrays([part.column("_p_key"), part.column("_p_y"), pa.array(list(x), pa.list_(pa.float64()))], names=["_p_key", "_p_y", "x"])
 
@@ -210,26 +214,30 @@ def fit(
     return machine(np.array([r[2] for r in rows]), np.array([r[1] == 1 for r in rows]), space.gram(), words=marks, floor=floor)
 
 
-def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``_p_score``, between 0 and 1."""
+def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all) of ``docs`` with ``_p_score``, between 0 and 1."""
+    docs, names = aside(docs)
+    back = {c: new for new, c in names.items()}
+    keep = [back.get(c, c) for c in keep] if keep is not None else docs.columns
     if model is None:
-        return docs.withColumn("_p_score", F.lit(0.0))
-    plain = docs.withColumn("_p_text", text_of(docs, text))
-    schema = StructType([*docs.schema.fields, StructField("_p_score", DoubleType())])
+        return restored(docs.select(*keep).withColumn("_p_score", F.lit(0.0)), names)
+    source = back.get(text, text)
+    if docs.schema[source].dataType != StringType():
+        docs, source = docs.withColumn("_p_text", text_of(docs, source)), "_p_text"
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("_p_score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Landmarks(model.words, model.floor)
         for batch in batches:
-            for part in slices(batch, "_p_text"):
-                s = model.scores(pooled(part.column("_p_text"), space))
-                at = part.schema.get_field_index("_p_text")
-                yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(part.columns) if k != at), pa.array(s)], names=[*(n for n in part.schema.names if n != "_p_text"), "_p_score"])
+            for part in slices(batch, source, _SLICE):
+                s = model.scores(pooled(part.column(source), space))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(s)], names=[*keep, "_p_score"])
 
-    return plain.mapInArrow(run, schema)
+    return restored(docs.select(*dict.fromkeys([*keep, source])).mapInArrow(run, schema), names)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, read(spark, sf_dir, "labels"))
-    out = score(docs, model)
+    out = score(docs, model, keep=["doc_id"])
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_p_score").alias("score"), (F.col("_p_score") >= 0.5).cast("int").alias("predicted"))
