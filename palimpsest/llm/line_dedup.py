@@ -8,13 +8,15 @@ after a count. The windows that select one place are a block. Of each repeated
 fingerprint, equal blocks are compared first and each but the first, in order
 of document id and position, is deleted. Where a fingerprint has blocks of
 several contents, as at the edges of a passage, the windows of the first block
-of each content are compared one by one in the same way. A window is so deleted
+of each content are compared one by one in the same way, those that occur once
+only being dropped before by a count of their contents alone. A window is so deleted
 just if an equal one is earlier; windows overlap word by word, and a repeated
 passage of ``min_words`` words or more goes from its first word to its last. No
 pairs within a group are made: each occurrence meets the first one.
 
-The tasks know the repeated fingerprints by a table of ``_BITS`` bits; that it
-takes others for repeated costs time, as they meet no equal content.
+The tasks know the repeated fingerprints and windows by tables of ``_BITS``
+bits, whose size is fixed; that these take others for repeated costs time, as
+they meet no equal content.
 
 The earliest occurrence of every word's text stays, as each deletion points to
 an earlier place; of a passage that repeats with a period, one period stays.
@@ -22,7 +24,9 @@ an earlier place; of a passage that repeats with a period, one period stays.
 Cases: null texts are empty and are not changed; null ids sort last; rows that
 agree in id and text are one document and come out alike; a text that is wholly
 repeated becomes empty and its row stays; an empty table stays empty; texts of
-any length are compared whole. ``n_chars``, if there, follows the text.
+any length are compared whole; ties do not arise, as a place is an id, a text
+and a word. ``n_chars``, if there, follows the text; other columns are carried
+along, but for a caller's ``_p_runs``, which is replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import id_of, read, remove, save, text_of
+from palimpsest.llm.common import aside, id_of, read, remove, restored, save, text_of
 from palimpsest.llm.textblocks import SPACE, binary_rows, buffer_of, hash_values, mix, slices, words_of
 
 _ODD = 0x9E3779B97F4A7C15
@@ -191,22 +195,37 @@ def repeated_runs(docs: DataFrame, min_words: int = 30, key: str = "doc_id", tex
     kinds = save(found.groupBy("fp", "content").agg(F.min(place).alias("first"), F.first("windows").alias("windows"), F.count("*").alias("n")), "first-blocks")
     mixed = context.broadcast(_table(kinds.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")))
 
+    def inner(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
+        """Blocks of fingerprints with several contents; of each window its block, start and content."""
+        b = b.filter(pa.array(_held(mixed.value, b.column("fp").to_numpy().view(np.uint64))))
+        raw, at = buffer_of_binary(b.column("windows"))
+        row = np.repeat(np.arange(b.num_rows), np.diff(at) // 8)
+        start = b.column("start").to_numpy()[row] + np.arange(len(row)) - (at[:-1] // 8)[row]
+        return b, row, start, np.frombuffer(raw, np.uint64)
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, n = np.unique(inner(batch)[3], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array(n)], names=["fp", "n"])
+
+    edges = kinds.select("fp", "windows", "first.*")
+    marks = edges.mapInArrow(contents, "fp long, n long")
+    again = context.broadcast(_table(marks.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1")))
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b = b.filter(pa.array(_held(mixed.value, b.column("fp").to_numpy().view(np.uint64))))
-            raw, at = buffer_of_binary(b.column("windows"))
-            size = np.diff(at) // 8
-            row = np.repeat(np.arange(b.num_rows), size)
-            start = b.column("start").to_numpy()[row] + np.arange(len(row)) - (at[:-1] // 8)[row]
+        for batch in batches:
+            b, row, start, content = inner(batch)
+            some = np.flatnonzero(_held(again.value, content))
+            row, start = row[some], start[some]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c).take(pa.array(row)) for c in ("fp", "_p_id", "_p_hash")), pa.array(np.frombuffer(raw, np.int64)), pa.array(start.astype(np.int32)), pa.array((start + min_words).astype(np.int32))],
+                [*(b.column(c).take(pa.array(row)) for c in ("fp", "_p_id", "_p_hash")), pa.array(content[some].view(np.int64)), pa.array(start.astype(np.int32)), pa.array((start + min_words).astype(np.int32))],
                 names=["fp", "_p_id", "_p_hash", "content", "start", "end"],
             )
 
     def later(rows: DataFrame, known: DataFrame) -> DataFrame:
         return rows.drop("windows").join(known, ["fp", "content"]).where(place != F.col("first")).select("_p_id", "_p_hash", "start", "end")
 
-    edge = save(kinds.select("fp", "windows", "first.*").mapInArrow(windows, "fp long, _p_id long, _p_hash long, content long, start int, end int"), "edge-windows")
+    edge = save(edges.mapInArrow(windows, "fp long, _p_id long, _p_hash long, content long, start int, end int"), "edge-windows")
     whole = save(later(found, kinds.where("n > 1").select("fp", "content", "first")), "later-blocks")
     remove(found)
     remove(kinds)
@@ -218,6 +237,9 @@ def repeated_runs(docs: DataFrame, min_words: int = 30, key: str = "doc_id", tex
 
 def dedup_lines(docs: DataFrame, min_words: int = 30, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, and ``_p_runs`` (null where nothing was)."""
+    docs, names = aside(docs)
+    back = {c: new for new, c in names.items()}
+    key, text = back.get(key, key), back.get(text, text)
     runs = repeated_runs(docs, min_words, key, text).select(F.col("_p_id").alias("_p_rid"), F.col("_p_hash").alias("_p_rhash"), F.col("runs").alias("_p_runs"))
     fields = docs.columns
 
@@ -245,7 +267,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 30, key: str = "doc_id", text:
     out = joined.mapInArrow(cut, joined.schema)
     if "n_chars" in fields:
         out = out.withColumn("n_chars", F.when(F.col("_p_runs").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
-    return out
+    return restored(out, names)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
