@@ -6,15 +6,23 @@ maximisation over all segmentations. Pieces do not cross words, so a text's
 marginal is the product of its words' and of an end; each distinct word's is
 worked out once.
 
-One pass turns each block of documents into rows (word, block, documents,
-counts). Word counts are sums over these rows, the piece weights are sums over
-words (as many rows as pieces), and scores come from joining words back to the
-blocks and adding up by document.
+The vocabulary files at hand hold ranks rather than probabilities, so this
+departs from scoring with given weights: ``rounds`` of expectation maximisation
+re-estimate them. With ``rounds=0`` the weights that the ranks give are used.
+
+One pass turns each block of documents into a row for each of its distinct
+words, with the documents and counts packed in bytes, and a row that lists the
+block's documents. Word counts are sums over these rows, the piece weights are
+sums over words (as many rows as pieces). Scores come from joining words back
+to their rows, which then go to their block's task, where each block is added
+up once, giving one row a document. A word of many blocks is a hot key of the
+join only, which adaptive execution splits.
 
 Cases: null and empty texts have no words, only the end; null ids count as the
 text ``null`` for the fold; repeated rows are each scored, and each teaches;
 with nothing to learn from, the base and the score stay defined by their
-smoothing; an empty table gives no rows; texts and words of any length count.
+smoothing; an empty table gives no rows; texts and words of any length count;
+only the key, the text and ``learn`` are read, whatever else is there.
 """
 
 from __future__ import annotations
@@ -35,41 +43,44 @@ from palimpsest.llm.textblocks import binary_rows, slices, words_of
 from palimpsest.llm.toxicity import held_out
 
 
+_PAIR = np.dtype([("doc", "<u2"), ("times", "u1")])
+_HEAD = np.dtype([("id", "<i8"), ("words", "<i8"), ("learned", "u1"), ("null", "u1")])
+_DOCS = 1 << 16
+_ROWS = "word binary, block long, data binary, train long"
+
+
+def _bytes(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return binary_rows(np.ascontiguousarray(values).view(np.uint8), lengths * values.itemsize).cast(pa.binary())
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, block, docs, counts, train); a row without a word lists a block's documents."""
+    """Rows (word, block, pairs of document and times, count in training); the row without a word lists the block's documents."""
     block = TaskContext.get().partitionId() << 32
+    names = ["word", "block", "data", "train"]
     for batch in batches:
-        for part in slices(batch, "_p_text"):
-            n = part.num_rows
-            w = words_of(part.column("_p_text"), lower=True)
-            train = part.column("_p_train").to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(n), np.diff(w.bounds))
-            pairs, count = np.unique(w.codes.astype(np.int64) * n + doc, return_counts=True)
-            code, doc = pairs // n, pairs % n
-            seen = np.bincount(code, np.where(train[doc], count, 0), len(w.values)).astype(np.int64)
-            size = np.bincount(code, minlength=len(w.values))
-            ids = part.column("_p_id")
-            head = pa.RecordBatch.from_arrays(
-                [
-                    pa.nulls(n, pa.large_binary()),
-                    pa.array(np.full(n, block)),
-                    binary_rows(np.arange(n, dtype=np.int32), np.ones(n, np.int64)),
-                    binary_rows(np.diff(w.bounds).astype(np.int32), np.ones(n, np.int64)),
-                    pa.array(train.astype(np.int64)),
-                    ids,
-                ],
-                names=_ROWS,
-            )
-            rest = pa.RecordBatch.from_arrays(
-                [w.values, pa.array(np.full(len(size), block)), binary_rows(doc.astype(np.int32), size), binary_rows(count.astype(np.int32), size), pa.array(seen), pa.nulls(len(size), pa.int64())],
-                names=_ROWS,
-            )
-            for out in (head, rest):
-                yield out.cast(pa.schema([("word", pa.binary()), ("block", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("train", pa.int64()), ("doc_id", pa.int64())]))
-            block += 1
-
-
-_ROWS = ["word", "block", "docs", "counts", "train", "doc_id"]
+        for wide in slices(batch, "_p_text"):
+            for at in range(0, wide.num_rows, _DOCS):
+                part = wide.slice(at, _DOCS)
+                n = part.num_rows
+                w = words_of(part.column("_p_text"), lower=True)
+                train = part.column("_p_train").to_numpy(zero_copy_only=False)
+                ids = part.column("_p_id")
+                head = np.zeros(n, _HEAD)
+                head["id"], head["null"] = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+                head["words"], head["learned"] = np.diff(w.bounds), train
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([block]), _bytes(head, np.array([n])), pa.array([int(train.sum())])], names=names)
+                doc = np.repeat(np.arange(n), np.diff(w.bounds))
+                pairs, count = np.unique(w.codes.astype(np.int64) * n + doc, return_counts=True)
+                code, doc = pairs // n, pairs % n
+                seen = np.bincount(code, np.where(train[doc], count, 0), len(w.values)).astype(np.int64)
+                # a pair counts to 255; more are more pairs
+                repeat = (count + 254) // 255
+                packed = np.zeros(repeat.sum(), _PAIR)
+                packed["doc"], packed["times"] = np.repeat(doc, repeat), 255
+                packed["times"][np.cumsum(repeat) - 1] = count - 255 * (repeat - 1)
+                size = np.bincount(code, repeat, len(w.values)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([w.values.cast(pa.binary()), pa.array(np.full(len(size), block)), _bytes(packed, size), pa.array(seen)], names=names)
+                block += 1
 
 
 def train(words: DataFrame, pieces: list[str], weights: np.ndarray, end: float, rounds: int = 2, smooth: float = 0.1) -> np.ndarray:
@@ -94,10 +105,10 @@ def train(words: DataFrame, pieces: list[str], weights: np.ndarray, end: float,
     return weights
 
 
-def score(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", learn: str = "_p_learn") -> DataFrame:
+def score(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", learn: str = "_p_learn", rounds: int = 2) -> DataFrame:
     """Scores of all ``docs``; those whose boolean column ``learn`` is true teach."""
     plain = docs.select(docs[key].cast("long").alias("_p_id"), F.coalesce(docs[learn], F.lit(False)).alias("_p_train"), text_of(docs, text).alias("_p_text"))
-    rows = save(plain.mapInArrow(_blocks, "word binary, block long, docs binary, counts binary, train long, doc_id long"), "word-blocks")
+    rows = save(plain.mapInArrow(_blocks, _ROWS), "word-blocks")
     words = save(rows.where("word IS NOT NULL").groupBy("word").agg(F.sum("train").alias("c")), "words")
     facts = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("v")).first()
     ends = rows.where("word IS NULL").agg(F.coalesce(F.sum("train"), F.lit(0)).alias("n")).first().n
@@ -105,72 +116,61 @@ def score(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "te
     floor = math.log10(n + 0.5 * (v + 1))
     pieces, weights = load_pieces(model_path)
     end = (ends + 1) / (n + 2) if n else 0.5
-    weights = train(words, pieces, weights, end)
-    lattice = Lattice(pieces, weights, end)
+    weights = train(words, pieces, weights, end, rounds)
+    last = Lattice(pieces, weights, end).end / math.log(10)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = Lattice(pieces, weights, end)
         for b in batches:
             marginal = local.marginals([w.decode() for w in b.column("word").to_pylist()]) / math.log(10)
-            c = b.column("c").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array((c > 0).astype(np.float64)), pa.array(np.log10(c + 0.5) - floor), pa.array(marginal)], names=["word", "known", "base", "marginal"])
-
-    judged = save(words.mapInArrow(judge, "word binary, known double, base double, marginal double"), "judged-words")
-    most = 1 << 21
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(marginal)], names=["word", "c", "marginal"])
+
+    judged = save(words.mapInArrow(judge, "word binary, c long, marginal double"), "judged-words")
+
+    def closed(head: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(head["id"], mask=head["null"] == 1),
+                pa.array(head["learned"] == 1),
+                pa.array(head["words"] + 1),
+                pa.array(sums[0].astype(np.int64) + int(ends > 0)),
+                pa.array(sums[1] + (math.log10(ends + 0.5) - floor)),
+                pa.array(sums[2] + last),
+            ],
+            names=["id", "learned", "n_tokens", "n_known", "base_score", "score"],
+        )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            block, doc, known, base, marginal = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.lexsort((doc, block))
-            block, doc = block[order], doc[order]
-            first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])]))
-            sums = [np.add.reduceat(x[order], first) for x in (known, base, marginal)]
-            held[:] = [(block[first], doc[first], *sums)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["block", "doc", "known", "base", "marginal"])
-
-        out = None
+        """Whole blocks, one after the other, each led by the list of its documents."""
+        head, sums = np.zeros(0, _HEAD), np.zeros((3, 0))
         for b in batches:
-            raw, at = buffer_of_binary(b.column("docs"))
-            doc = np.frombuffer(raw, np.int32)
-            count = np.frombuffer(buffer_of_binary(b.column("counts"))[0], np.int32).astype(np.float64)
-            times = np.diff(at) // 4
-            if not len(doc):
+            if not b.num_rows:
                 continue
-            wide = [np.repeat(b.column(c).to_numpy(), times) for c in ("block", "known", "base", "marginal")]
-            held.append((wide[0], doc.astype(np.int64), wide[1] * count, wide[2] * count, wide[3] * count))
-            size += len(doc)
-            if size > most:
-                out = flush()
-                size = len(held[0][0])
-                if size > most // 2:
-                    yield out
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    joined = rows.where("word IS NOT NULL").select("word", "block", "docs", "counts").join(judged, "word")
-    parts = joined.select("block", "docs", "counts", "known", "base", "marginal").mapInArrow(add, "block long, doc long, known double, base double, marginal double")
-    sums = parts.groupBy("block", "doc").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("marginal").alias("marginal"))
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            numbers = (np.frombuffer(buffer_of_binary(b.column(c))[0], np.int32).astype(np.int64) for c in ("docs", "counts"))
-            yield pa.RecordBatch.from_arrays([b.column("block"), *(pa.array(x) for x in numbers), b.column("train"), b.column("doc_id")], names=["block", "doc", "n", "train", "doc_id"])
-
-    each = rows.where("word IS NULL").select("block", "docs", "counts", "train", "doc_id").mapInArrow(listed, "block long, doc long, n long, train long, doc_id long")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return each.join(sums, ["block", "doc"], "left").select(
-        F.col("doc_id").alias(key),
-        (F.col("train") == 1).alias("learned"),
-        (F.col("n") + 1).alias("n_tokens"),
-        (zero("known").cast("long") + F.lit(int(ends > 0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (zero("base") + F.lit(math.log10(ends + 0.5) - floor)).alias("base_score"),
-        (zero("marginal") + F.lit(lattice.end / math.log(10))).alias("score"),
-    )
+            raw, at = buffer_of_binary(b.column("data"))
+            lists = b.column("c").is_null().to_numpy(zero_copy_only=False)
+            c = b.column("c").fill_null(0).to_numpy()
+            facts = np.stack([(c > 0).astype(float), np.log10(c + 0.5) - floor, b.column("marginal").fill_null(0).to_numpy()])
+            first = np.flatnonzero(lists)
+            for lo, hi in zip([0, *first], [*first, b.num_rows], strict=True):
+                if lo < hi and lists[lo]:
+                    if len(head):
+                        yield closed(head, sums)
+                    head = np.frombuffer(raw[at[lo] : at[lo + 1]], _HEAD)
+                    sums = np.zeros((3, len(head)))
+                    lo += 1
+                if lo < hi:
+                    pairs = np.frombuffer(raw[at[lo] : at[hi]], _PAIR)
+                    word = np.repeat(np.arange(lo, hi), np.diff(at[lo : hi + 1]) // _PAIR.itemsize)
+                    for k in range(3):
+                        sums[k] += np.bincount(pairs["doc"], facts[k, word] * pairs["times"], len(head))
+        if len(head):
+            yield closed(head, sums)
+
+    joined = rows.where("word IS NOT NULL").select("word", "block", "data").join(judged, "word").select("block", "data", "c", "marginal")
+    lists = rows.where("word IS NULL").select("block", "data", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("marginal"))
+    by_block = joined.unionByName(lists).repartition("block").sortWithinPartitions("block", F.asc_nulls_first("c"))
+    out = by_block.mapInArrow(add, "id long, learned boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("id").alias(key), "learned", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
