@@ -5,22 +5,27 @@ class, found by a hash of the set, and only the first of a class is compared.
 
 Each class carries, for every tree and level, its least shingles under that
 level's hash, and a sketch of 256 bins. A tree's root branches by the least
-shingle. Nodes of one class end. Nodes of up to ``node`` classes are compared
-exhaustively: sketches rule out pairs far below the threshold, and each pair
-left that is not connected yet is confirmed on full sets. Larger nodes branch
-again by the two least shingles of the next level, so that a pair has two
-chances to stay together; after the last level, what is still too large is
-dealt into random blocks, other ones in each tree. A node whose classes all
-belong to one component has nothing to add and ends early, so large groups of
-copies do not grow into pairs. Independent trees run in three rounds; a pair at
-the threshold is missed with a chance of 0.25 ** trees. Nodes that were dealt
-into blocks and still hold several components after that have every pair of
-their blocks compared.
+shingle. Nodes of one class end, and so do nodes whose classes all belong to
+one component, so that large groups of copies do not grow into pairs. Nodes of
+up to ``node`` classes are compared exhaustively: sketches rule out pairs far
+below the threshold, and each pair left that is not connected yet is confirmed
+on full sets. Larger nodes branch again by the two least shingles of the next
+level, so that a pair has two chances to stay together; after the last level,
+what is still too large is dealt into random blocks.
+
+The first tree has its root only and serves to connect the large groups: its
+large nodes are dealt out at once, with one class as an anchor in each block.
+The others then run together. Nodes that were dealt into blocks there and still
+hold several components have all pairs of their blocks compared, but those in
+which all belong to the node's largest component. A pair at the threshold in
+small nodes is so missed with a chance of about 0.25 ** trees.
 
 Cases: null, empty and wordless texts have an empty set, link with nothing and
 are kept; null ids count as the largest id and come back as null; rows that
 agree in id and text get the same answer; an empty table gives no rows; a text
-with fewer than five words is one shingle.
+with fewer than five words is one shingle; a document equal in its set to
+several is linked to the least id; other columns are carried along by
+``keep_first``, whatever they are called.
 """
 
 from __future__ import annotations
@@ -29,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import id_of, read, save, shuffle_partitions, text_of
+from palimpsest.llm.common import aside, id_of, read, remove, restored, save, shuffle_partitions, text_of
 from palimpsest.llm.components import components
 from palimpsest.llm.line_dedup import buffer_of_binary
 from palimpsest.llm.textblocks import binary_rows, hash_values, mix, slices, words_of
@@ -80,7 +85,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.flatnonzero(size)
             starts = (np.cumsum(size) - size)[rows]
             n = len(size)
-            set_a, set_b = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            # the keys of empty sets differ, as they meet no class
+            set_a, set_b = part.column("_p_id").to_numpy().copy(), part.column("_p_hash").to_numpy().copy()
             paths = np.zeros((n, TREES * (1 + 2 * (LEVELS - 1))), np.uint64)
             bins = np.zeros((n, BINS), np.uint8)
             if len(rows):
@@ -171,7 +177,7 @@ def _groups(table: pa.Table, key: str) -> Iterator[tuple[int, int]]:
     return zip(edge, edge[1:], strict=False)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.75, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.75, key: str = "doc_id", text: str = "text", node: int = NODE) -> DataFrame:
     """Per document: ``_p_id``, ``_p_hash`` (of its text), ``n_shingles`` and ``comp``, the least id linked."""
     plain = docs.select(id_of(docs, key).alias("_p_id"), F.xxhash64(text_of(docs, text)).alias("_p_hash"), text_of(docs, text).alias("_p_text"))
     rows = save(plain.mapInArrow(_sketches, _SKETCH), "sketches")
@@ -184,128 +190,165 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, key: str = "doc_id
         .withColumn("cls", F.xxhash64(*same_set)),
         "classes",
     )
-    known = None  # cls, comp: components of classes linked so far, by the least class number
-    rounds = [range(1), range(1, 4), range(4, TREES)]
-    dealt = False
-    for trees in [*rounds, None]:
-        if trees is None and not dealt:
-            break
-        links, some = _links(plain, classes, known, trees or range(TREES), threshold, whole=trees is None)
-        dealt = dealt or some
-        edges = links if known is None else links.unionByName(known.select(F.col("cls").alias("a"), F.col("comp").alias("b")))
-        known = save(components(edges).select(F.col("id").alias("cls"), "comp"), "linked")
+    search = _Search(plain, classes, threshold, node)
+    search.trees(range(1), levels=1)
+    dealt = search.trees(range(1, TREES), levels=LEVELS)
+    if dealt is not None:
+        search.across(dealt)
+        remove(dealt)
+    known = search.known
     first_of = classes.join(known, "cls").groupBy("comp").agg(F.min("first._p_id").alias("least"))
-    of_class = classes.join(known, "cls", "left").join(first_of, "comp", "left").select(*same_set, F.coalesce("least", "first._p_id").alias("comp"))
-    return rows.select("_p_id", "_p_hash", *same_set).join(of_class, same_set, "left").select("_p_id", "_p_hash", "n_shingles", F.coalesce("comp", "_p_id").alias("comp"))
+    of_class = save(classes.join(known, "cls").join(first_of, "comp").select(*same_set, F.col("least").alias("comp")), "linked-sets")
+    remove(known)
+    own = classes.select(*same_set, F.col("first._p_id").alias("own")).join(of_class, same_set, "left").select(*same_set, F.coalesce("comp", "own").alias("comp"))
+    return rows.select("_p_id", "_p_hash", *same_set).join(own, same_set, "left").select("_p_id", "_p_hash", "n_shingles", F.coalesce("comp", "_p_id").alias("comp"))
 
 
-def _paths(row_filter: DataFrame, known: DataFrame | None) -> DataFrame:
-    out = row_filter.select("cls", F.col("n_shingles").alias("size"), "sketch", "paths")
-    if known is None:
-        return out.withColumn("comp", F.col("cls"))
-    return out.join(known, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+def _blocks_of(n: Column, node: int) -> Column:
+    """How many blocks of about half a node take ``n`` classes."""
+    return F.ceil(n * 2 / node).cast("long")
 
 
-def _links(plain: DataFrame, classes: DataFrame, known: DataFrame | None, trees: range, threshold: float, whole: bool) -> tuple[DataFrame, bool]:
-    """Confirmed links ``a``, ``b`` that join every component found in these trees.
+class _Search:
+    """The classes of a table and the components that were found among them so far."""
 
-    Also whether some node was dealt into blocks. With ``whole``, only such nodes
-    are looked at, and all pairs of their blocks.
-    """
-    spark = classes.sparkSession
-    parts = shuffle_partitions(spark)
-    per_tree = 1 + 2 * (LEVELS - 1)
-    token = lambda k: F.substring("paths", k * 8 + 1, 8)
-    rows = _paths(classes, known)
-    nodes = rows.select("cls", "comp", F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), token(t * per_tree)).alias("node")) for t in trees))).alias("n")).select("cls", "comp", "n.tree", "n.node")
-    open_nodes, ready, dealt = nodes, [], False
-    for level in range(LEVELS):
+    def __init__(self, plain: DataFrame, classes: DataFrame, threshold: float, node: int):
+        self.plain, self.classes, self.threshold, self.node = plain, classes, threshold, node
+        self.spark = classes.sparkSession
+        self.known = self.spark.createDataFrame([], "cls long, comp long")
+
+    def _with_comp(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.known, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+    def _mixed(self, nodes: DataFrame) -> DataFrame:
+        """Members of nodes with several components: ``n`` classes, and one of them as ``anchor``."""
         # whole counts are made map-side; a node with one class or one component is done
-        count = open_nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 1 AND lo <> hi").select("node", "n")
-        mixed = save(open_nodes.join(count, "node"), "nodes")
-        last = level == LEVELS - 1
-        if not whole:
-            ready.append(mixed.where(f"n <= {NODE}").select("node", "cls"))
-        large = mixed.where(f"n > {NODE}")
-        if not large.limit(1).count():
-            break
-        if last:
-            dealt = True
-            blocks = F.ceil(F.col("n") * 2 / NODE).cast("long")
-            spread = large.withColumns({"block": F.pmod(F.xxhash64("cls", "node"), blocks), "blocks": blocks})
-            if not whole:
-                ready.append(spread.select(F.xxhash64("node", "block").alias("node"), "cls"))
+        count = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("node", "cls").alias("h"), "cls")).alias("least"))
+        return nodes.join(count.where("n > 1 AND lo <> hi").select("node", "n", F.col("least.cls").alias("anchor")), "node")
+
+    def trees(self, trees: range, levels: int) -> DataFrame | None:
+        """Link within the nodes of some trees; the members of nodes that were dealt out, if any."""
+        per_tree = 1 + 2 * (LEVELS - 1)
+        token = lambda k: F.substring("paths", k * 8 + 1, 8)
+        roots = F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), token(t * per_tree)).alias("node")) for t in trees))
+        nodes = self._with_comp(self.classes.select("cls", roots.alias("roots"))).select("cls", "comp", F.explode("roots").alias("n")).select("cls", "comp", "n.tree", "n.node")
+        ready, tables, dealt = [], [], None
+        for level in range(levels):
+            mixed = save(self._mixed(nodes), "nodes")
+            tables.append(mixed)
+            ready.append(mixed.where(f"n <= {self.node}").select("node", "cls"))
+            large = mixed.where(f"n > {self.node}")
+            if not large.limit(1).count():
                 break
-            pairs = spread.select("cls", "node", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-            ready.append(pairs.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "cls").distinct())
-            break
-        deeper = large.join(rows.select("cls", "paths"), "cls")
-        chosen = []
-        for t in trees:
-            base = t * per_tree + 1 + 2 * level
-            chosen.append(F.when(F.col("tree") == t, F.array(token(base), token(base + 1))))
-        open_nodes = deeper.select("cls", "comp", "tree", "node", F.explode(F.coalesce(*chosen)).alias("token")).select("cls", "comp", "tree", F.xxhash64("node", "token").alias("node"))
-
-    members = ready[0] if ready else nodes.select("node", "cls").limit(0)
-    for more in ready[1:]:
-        members = members.unionByName(more)
-    # classes with a partner that sizes and sketches do not rule out
-    full = members.join(rows.select("cls", "comp", "size", "sketch"), "cls").repartition(parts, "node").sortWithinPartitions("node", "cls")
-
-    def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _by_group(batches, "node"):
-            size, comp = table.column("size").to_numpy(), table.column("comp").to_numpy()
-            sketch = np.frombuffer(buffer_of_binary(table.column("sketch").combine_chunks())[0], np.uint8).reshape(-1, BINS)
-            keep = np.zeros(len(size), bool)
-            for a, b in _groups(table, "node"):
-                for i in range(a, b - 1):
-                    others = np.arange(i + 1, b)
-                    found = alike(sketch, size, i, others[comp[others] != comp[i]], threshold)
-                    if len(found):
-                        keep[i] = keep[found] = True
-            if keep.any():
-                yield from table.select(["node", "cls", "comp", "size", "sketch"]).filter(pa.array(keep)).to_batches()
-
-    wanted = save(full.mapInArrow(promising, "node long, cls long, comp long, size long, sketch binary"), "promising")
-    first = save(classes.join(wanted.select("cls").distinct(), "cls").select("cls", F.col("first._p_id").alias("_p_id"), F.col("first._p_hash").alias("_p_hash")), "sought")
-    if first.count() <= BROADCAST_ROWS:  # three numbers a row
-        first = F.broadcast(first)
-    # a class's text: rows that agree in id and text have one set, and any will do
-    texts = plain.join(first, ["_p_id", "_p_hash"]).select("cls", "_p_text")
-    sets = texts.mapInArrow(_sets, "cls long, shingles binary").dropDuplicates(["cls"])
-    armed = wanted.join(sets, "cls").repartition(parts, "node").sortWithinPartitions("node", "cls")
-
-    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _by_group(batches, "node"):
-            size, cls, comp = (table.column(c).to_numpy() for c in ("size", "cls", "comp"))
-            sketch = np.frombuffer(buffer_of_binary(table.column("sketch").combine_chunks())[0], np.uint8).reshape(-1, BINS)
-            column = table.column("shingles")
-            left, right = [], []
-            for a, b in _groups(table, "node"):
-                sets = [np.frombuffer(column[i].as_py(), np.uint64) for i in range(a, b)]
-                group = comp[a:b].copy()
-                for i in range(a, b):
-                    others = np.arange(a, i)
-                    for j in alike(sketch, size, i, others[group[others - a] != group[i - a]], threshold):
-                        if group[i - a] == group[j - a]:
-                            continue
-                        x, y = sets[i - a], sets[j - a]
-                        shared = len(np.intersect1d(x, y, assume_unique=True))
-                        if 100 * shared >= round(100 * threshold) * (len(x) + len(y) - shared):
-                            left.append(cls[i])
-                            right.append(cls[j])
-                            group[group == group[i - a]] = group[j - a]
-            if left:
-                yield pa.RecordBatch.from_pydict({"a": left, "b": right})
-
-    return save(armed.mapInArrow(confirmed, "a long, b long").distinct(), "links"), dealt
+            if level < levels - 1:
+                chosen = []
+                for t in trees:
+                    base = t * per_tree + 1 + 2 * level
+                    chosen.append(F.when(F.col("tree") == t, F.array(token(base), token(base + 1))))
+                deeper = large.join(self.classes.select("cls", "paths"), "cls")
+                nodes = deeper.select("cls", "comp", "tree", "node", F.explode(F.coalesce(*chosen)).alias("token")).select("cls", "comp", "tree", F.xxhash64("node", "token").alias("node"))
+                continue
+            # random blocks, each with the node's anchor, so that a group of copies becomes one component
+            blocks = _blocks_of(F.col("n"), self.node)
+            own = large.select(F.xxhash64("node", F.pmod(F.xxhash64("cls", "node"), blocks)).alias("node"), "cls")
+            anchors = large.where("cls = anchor").select("node", "cls", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+            ready.append(own.unionByName(anchors.select(F.xxhash64("node", "block").alias("node"), "cls")).distinct())
+            dealt = save(large.select("node", "cls"), "dealt")
+        members = ready[0]
+        for more in ready[1:]:
+            members = members.unionByName(more)
+        self._link(members)
+        for t in tables:
+            remove(t)
+        return dealt
+
+    def across(self, dealt: DataFrame) -> None:
+        """Compare each two blocks of the nodes that were dealt out and still hold several components.
+
+        The classes of a node's largest component are not compared with each
+        other: its blocks only meet the blocks of the others, and these each other.
+        """
+        members = save(self._mixed(self._with_comp(dealt)).select("node", "cls", "comp"), "mixed")
+        sizes = members.groupBy("node", "comp").agg(F.count("*").alias("c"))
+        facts = sizes.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"))
+        facts = facts.select("node", F.col("top.comp").alias("top"), _blocks_of(F.col("top.c"), self.node).alias("p"), _blocks_of(F.col("n") - F.col("top.c"), self.node).alias("q"))
+        both = members.join(facts, "node").withColumn("inner", F.col("comp") == F.col("top"))
+        both = both.withColumn("block", F.pmod(F.xxhash64("cls", "node"), F.when(F.col("inner"), F.col("p")).otherwise(F.col("q"))) + F.when(F.col("inner"), F.col("q")).otherwise(0))
+        # blocks 0 to q - 1 have the others, q to q + p - 1 the largest component
+        met = F.sequence(F.lit(0).cast("long"), F.when(F.col("inner"), F.col("q")).otherwise(F.col("p") + F.col("q")) - 1)
+        pairs = both.select("cls", "node", "block", F.explode(met).alias("other"))
+        self._link(pairs.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "cls"))
+        remove(members)
+
+    def _link(self, members: DataFrame) -> None:
+        """Confirm links among the classes of each node and join the components they connect."""
+        parts, threshold = shuffle_partitions(self.spark), self.threshold
+        # classes with a partner that sizes and sketches do not rule out
+        rows = self._with_comp(self.classes.select("cls", F.col("n_shingles").alias("size"), "sketch"))
+        full = members.join(rows, "cls").repartition(parts, "node").sortWithinPartitions("node", "cls")
+
+        def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in _by_group(batches, "node"):
+                size, comp = table.column("size").to_numpy(), table.column("comp").to_numpy()
+                sketch = np.frombuffer(buffer_of_binary(table.column("sketch").combine_chunks())[0], np.uint8).reshape(-1, BINS)
+                keep = np.zeros(len(size), bool)
+                for a, b in _groups(table, "node"):
+                    for i in range(a, b - 1):
+                        others = np.arange(i + 1, b)
+                        found = alike(sketch, size, i, others[comp[others] != comp[i]], threshold)
+                        if len(found):
+                            keep[i] = keep[found] = True
+                if keep.any():
+                    yield from table.select(["node", "cls", "comp", "size", "sketch"]).filter(pa.array(keep)).to_batches()
+
+        wanted = save(full.mapInArrow(promising, "node long, cls long, comp long, size long, sketch binary"), "promising")
+        first = save(self.classes.join(wanted.select("cls").distinct(), "cls").select("cls", F.col("first._p_id").alias("_p_id"), F.col("first._p_hash").alias("_p_hash")), "sought")
+        sought = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first  # three numbers a row
+        # a class's text: rows that agree in id and text have one set, and any will do
+        texts = self.plain.join(sought, ["_p_id", "_p_hash"]).select("cls", "_p_text")
+        sets = texts.mapInArrow(_sets, "cls long, shingles binary").dropDuplicates(["cls"])
+        armed = wanted.join(sets, "cls").repartition(parts, "node").sortWithinPartitions("node", "cls")
+
+        def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in _by_group(batches, "node"):
+                size, cls, comp = (table.column(c).to_numpy() for c in ("size", "cls", "comp"))
+                sketch = np.frombuffer(buffer_of_binary(table.column("sketch").combine_chunks())[0], np.uint8).reshape(-1, BINS)
+                column = table.column("shingles")
+                left, right = [], []
+                for a, b in _groups(table, "node"):
+                    sets = [np.frombuffer(column[i].as_py(), np.uint64) for i in range(a, b)]
+                    group = comp[a:b].copy()
+                    for i in range(a, b):
+                        others = np.arange(a, i)
+                        for j in alike(sketch, size, i, others[group[others - a] != group[i - a]], threshold):
+                            if group[i - a] == group[j - a]:
+                                continue
+                            x, y = sets[i - a], sets[j - a]
+                            shared = len(np.intersect1d(x, y, assume_unique=True))
+                            if 100 * shared >= round(100 * threshold) * (len(x) + len(y) - shared):
+                                left.append(cls[i])
+                                right.append(cls[j])
+                                group[group == group[i - a]] = group[j - a]
+                if left:
+                    yield pa.RecordBatch.from_pydict({"a": left, "b": right})
+
+        links = save(armed.mapInArrow(confirmed, "a long, b long").distinct(), "links")
+        remove(wanted)
+        remove(first)
+        edges = links.unionByName(self.known.select(F.col("cls").alias("a"), F.col("comp").alias("b")))
+        before, self.known = self.known, save(components(edges).select(F.col("id").alias("cls"), "comp"), "linked")
+        remove(links)
+        remove(before)
 
 
 def keep_first(docs: DataFrame, threshold: float = 0.75, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the first of their group of near duplicates."""
+    docs, names = aside(docs)
+    back = {c: new for new, c in names.items()}
+    key, text = back.get(key, key), back.get(text, text)
     found = near_duplicates(docs, threshold, key, text).where("comp <> _p_id").select("_p_id", "_p_hash").distinct()
     mine = (id_of(docs, key) == F.col("_p_id")) & (F.xxhash64(text_of(docs, text)) == F.col("_p_hash"))
-    return docs.join(found, mine, "left_anti")
+    return restored(docs.join(found, mine, "left_anti"), names)
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
