@@ -1,13 +1,13 @@
 """Removal of repeated passages by winnowing (operator 1).
 
 Units are words, split at ASCII white space. A window is a run of ``min_words``
-words; its fingerprint is the least hash among the k-grams in it, k being about
-half of it, so that equal windows have equal fingerprints wherever they stand
+words; its fingerprint is the least hash among the k-grams in it, k being
+eight, so that equal windows have equal fingerprints wherever they stand
 in a line or a sentence. Fingerprints selected at one place only are dropped
 after a count. The windows that select one place are a block. Of each repeated
 fingerprint, equal blocks are compared first and each but the first, in order
 of document id and position, is deleted. Where a fingerprint has blocks of
-several contents, as at the edges of a passage, the windows of the first block
+several contents (their least is not their largest), as at the edges of a passage, the windows of the first block
 of each content are compared one by one in the same way, those that occur once
 only being dropped before by a count of their contents alone. A window is so deleted
 just if an equal one is earlier; windows overlap word by word, and a repeated
@@ -39,10 +39,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import aside, id_of, read, remove, restored, save, text_of
-from palimpsest.llm.textblocks import SPACE, binary_rows, buffer_of, hash_values, mix, slices, words_of
+from palimpsest.llm.textblocks import SPACE, binary_rows, buffer_of, mix, slices
 
 _ODD = 0x9E3779B97F4A7C15
+_GRAM = 8
 _BITS = 1 << 25
+_CODES = mix(np.arange(1, 257, dtype=np.uint64))
+_CODES[SPACE] = 0
 _SLICE = 4 << 20
 
 
@@ -69,24 +72,35 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Content hashes of the words that begin at ``starts``: polynomials of their bytes."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    raw, at = raw[starts[0] :], starts - starts[0]
+    size = np.diff(at, append=len(raw))
+    place = np.arange(len(raw), dtype=np.int32) - np.repeat(at.astype(np.int32), size)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(size.max()), _ODD, np.uint64)]), dtype=np.uint64)
+        return mix(np.add.reduceat(_CODES[raw] * power[place], at))
+
+
 class Windows:
     """Runs of ``size`` words in a batch of texts: ``start``, ``text``, ``fingerprint``."""
 
     def __init__(self, texts: pa.Array, size: int):
-        words = words_of(texts)
-        self.bounds, n = words.bounds, len(words.codes)
+        raw, _, starts, self.bounds = word_starts(texts)
+        n, gram = len(starts), max(1, min(_GRAM, size // 2))
         last = np.repeat(self.bounds[1:], np.diff(self.bounds))
         self.start = np.flatnonzero(np.arange(size, n + size) <= last)
         self.text = np.searchsorted(self.bounds, self.start, "right") - 1
-        self.size, span = size, size // 2 + 1
+        self.size = size
         with np.errstate(over="ignore"):
             self._inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(_ODD, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
             power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _ODD, np.uint64)]), dtype=np.uint64)
-            hashes = mix(hash_values(words.values))[words.codes]
-            self._prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)])
+            self._prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word_hashes(raw, starts) * power[:-1], dtype=np.uint64)])
         if len(self.start):
-            grams = self._hash(np.arange(n - size + span), size - span + 1)
-            self.place = least(grams, span)[self.start]
+            grams = self._hash(np.arange(n - gram + 1), gram)
+            self.place = least(grams, size - gram + 1)[self.start]
             self.fingerprint = grams[self.place]
         else:
             self.place, self.fingerprint = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -99,9 +113,16 @@ class Windows:
         """First window of each block, in ``start``, and the end of the last."""
         return np.append(np.flatnonzero(np.diff(self.place, prepend=-1)), len(self.start))
 
-    def selected(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct fingerprints and at how many places they are selected."""
-        return np.unique(self.fingerprint[self.blocks()[:-1]], return_counts=True)
+    def selected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct fingerprints, at how many places they are selected, and the least and largest content of their blocks."""
+        edges = self.blocks()
+        fps, content = self.fingerprint[edges[:-1]], self.contents(edges[:-1], edges[1:] - 1).view(np.int64)
+        order = np.argsort(fps, kind="stable")
+        fps, content = fps[order], content[order]
+        first = np.flatnonzero(np.diff(fps, prepend=~fps[:1]))
+        if not len(first):
+            return fps, content, content, content
+        return fps[first], np.diff(first, append=len(fps)), np.minimum.reduceat(content, first), np.maximum.reduceat(content, first)
 
     def contents(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Hashes of the words from window ``first`` to the end of ``last``."""
@@ -120,14 +141,17 @@ def buffer_of_binary(values: pa.Array) -> tuple[bytes, np.ndarray]:
     return raw, at - at[0]
 
 
-def _table(fps: DataFrame) -> np.ndarray:
-    """Bits of the fingerprints in ``fps``, as 64-bit numbers."""
+def _tables(fps: DataFrame, *tests: str) -> list[np.ndarray]:
+    """For each test, the bits of the fingerprints in ``fps`` that pass it, as 64-bit numbers."""
     shift = 64 - (_BITS.bit_length() - 1)
     bit = f"shiftrightunsigned(fp, {shift})"
-    got = fps.selectExpr(f"cast(shiftrightunsigned({bit}, 6) AS int) AS at", f"shiftleft(1L, cast({bit} & 63 AS int)) AS b").groupBy("at").agg(F.bit_or("b").alias("b")).toArrow()  # at most _BITS / 64 rows
-    out = np.zeros(_BITS // 64, np.int64)
-    out[got.column("at").to_numpy()] = got.column("b").to_numpy()
-    return out.view(np.uint64)
+    flags = [f"CASE WHEN {t} THEN shiftleft(1L, cast({bit} & 63 AS int)) ELSE 0L END AS b{k}" for k, t in enumerate(tests)]
+    words = fps.selectExpr(f"cast(shiftrightunsigned({bit}, 6) AS int) AS at", *flags).groupBy("at")
+    got = words.agg(*(F.bit_or(f"b{k}").alias(f"b{k}") for k in range(len(tests)))).toArrow()  # at most _BITS / 64 rows
+    out = [np.zeros(_BITS // 64, np.int64) for _ in tests]
+    for k, table in enumerate(out):
+        table[got.column("at").to_numpy()] = got.column(f"b{k}").to_numpy()
+    return [table.view(np.uint64) for table in out]
 
 
 def _held(table: np.ndarray, fps: np.ndarray) -> np.ndarray:
@@ -160,12 +184,13 @@ def repeated_runs(docs: DataFrame, min_words: int = 30, key: str = "doc_id", tex
     def selected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_p_text", _SLICE):
-                fps, n = Windows(part.column("_p_text"), min_words).selected()
-                yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array(n)], names=["fp", "n"])
+                fps, n, lo, hi = Windows(part.column("_p_text"), min_words).selected()
+                yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(lo), pa.array(hi)], names=["fp", "n", "lo", "hi"])
 
-    marks = plain.select("_p_text").mapInArrow(selected, "fp long, n long")
     context = docs.sparkSession.sparkContext
-    table = context.broadcast(_table(marks.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1")))
+    marks = plain.select("_p_text").mapInArrow(selected, "fp long, n long, lo long, hi long")
+    repeated = marks.groupBy("fp").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1")
+    table, mixed = map(context.broadcast, _tables(repeated, "true", "lo <> hi"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +200,8 @@ def repeated_runs(docs: DataFrame, min_words: int = 30, key: str = "doc_id", tex
                 keep = np.flatnonzero(_held(table.value, w.fingerprint[edges[:-1]]))
                 first, last = edges[:-1][keep], edges[1:][keep] - 1
                 doc, size = w.text[first], last - first + 1
-                each = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                shown = np.where(_held(mixed.value, w.fingerprint[first]), size, 0)
+                each = np.repeat(first - np.cumsum(shown) + shown, shown) + np.arange(shown.sum())
                 start = w.start[first] - w.bounds[doc]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -185,7 +211,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 30, key: str = "doc_id", tex
                         part.column("_p_hash").take(pa.array(doc)),
                         pa.array(start.astype(np.int32)),
                         pa.array((start + size - 1 + min_words).astype(np.int32)),
-                        binary_rows(w.contents(each, each), size).cast(pa.binary()),
+                        binary_rows(w.contents(each, each), shown).cast(pa.binary()),
                     ],
                     names=["fp", "content", "_p_id", "_p_hash", "start", "end", "windows"],
                 )
@@ -193,28 +219,26 @@ def repeated_runs(docs: DataFrame, min_words: int = 30, key: str = "doc_id", tex
     place = F.struct("_p_id", "_p_hash", "start")
     found = save(plain.mapInArrow(blocks, "fp long, content long, _p_id long, _p_hash long, start int, end int, windows binary"), "word-blocks")
     kinds = save(found.groupBy("fp", "content").agg(F.min(place).alias("first"), F.first("windows").alias("windows"), F.count("*").alias("n")), "first-blocks")
-    mixed = context.broadcast(_table(kinds.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")))
 
-    def inner(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
-        """Blocks of fingerprints with several contents; of each window its block, start and content."""
-        b = b.filter(pa.array(_held(mixed.value, b.column("fp").to_numpy().view(np.uint64))))
+    def inner(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of some blocks: block, start and content of each."""
         raw, at = buffer_of_binary(b.column("windows"))
         row = np.repeat(np.arange(b.num_rows), np.diff(at) // 8)
         start = b.column("start").to_numpy()[row] + np.arange(len(row)) - (at[:-1] // 8)[row]
-        return b, row, start, np.frombuffer(raw, np.uint64)
+        return row, start, np.frombuffer(raw, np.uint64)
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, n = np.unique(inner(batch)[3], return_counts=True)
+            fps, n = np.unique(inner(batch)[2], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array(n)], names=["fp", "n"])
 
-    edges = kinds.select("fp", "windows", "first.*")
-    marks = edges.mapInArrow(contents, "fp long, n long")
-    again = context.broadcast(_table(marks.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1")))
+    edges = kinds.where("length(windows) > 0").select("fp", "windows", "first.*")
+    counts = edges.mapInArrow(contents, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1")
+    again = context.broadcast(_tables(counts, "true")[0])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b, row, start, content = inner(batch)
+        for b in batches:
+            row, start, content = inner(b)
             some = np.flatnonzero(_held(again.value, content))
             row, start = row[some], start[some]
             yield pa.RecordBatch.from_arrays(
