@@ -159,16 +159,15 @@ def _by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]
 def alike(sketch: np.ndarray, size: np.ndarray, row: int, others: np.ndarray, threshold: float) -> np.ndarray:
     """Which of ``others`` may reach the threshold with ``row``: sizes, then sketches.
 
-    Agreement of b shared bins strays from the similarity by a standard
-    deviation of sqrt(0.19 / b); five of them are allowed for, and sets too
-    small to fill the bins are not ruled out.
+    Of the bins that either set fills, the share that agrees is the similarity,
+    give or take a standard deviation of sqrt(0.19 / bins) at the threshold; five
+    of them are allowed for.
     """
     low, high = np.minimum(size[others], size[row]), np.maximum(size[others], size[row])
     near = others[low >= threshold * high]
-    both = (sketch[near] != 0) & (sketch[row] != 0)
-    some = both.sum(axis=1)
-    same = ((sketch[near] == sketch[row]) & both).sum(axis=1)
-    return near[(same >= some * (threshold - 5 * np.sqrt(0.19 / np.maximum(some, 1)))) | (some < 64)]
+    same = ((sketch[near] == sketch[row]) & (sketch[row] != 0)).sum(axis=1)
+    bins = (sketch[near] | sketch[row]).astype(bool).sum(axis=1)
+    return near[same >= bins * (threshold - 5 * np.sqrt(0.19 / np.maximum(bins, 1)))]
 
 
 def _groups(table: pa.Table, key: str) -> Iterator[tuple[int, int]]:
