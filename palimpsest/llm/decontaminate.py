@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ascii_lower, read, text_of
+from palimpsest.llm.common import ascii_lower, aside, read, restored, text_of
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -80,9 +80,9 @@ def hits(docs: DataFrame, bench: DataFrame, n: int = 10, key: str = "doc_id", te
         sizes = [r[0] for r in grams.select("size").distinct().collect()]  # at most n
         found = F.concat(*(F.expr(f"transform(if(size(w) >= {s}, sequence(1, size(w) - {s - 1}), array()), i -> struct(int(i) AS at, {s} AS size, xxhash64(slice(w, i, {s})) AS hash))") for s in sizes))
         windows = grams
-    each = base.withColumn("hit", F.explode_outer(found)).select(
-        key, "_p_text", "n_words", F.col("hit.at").alias("at"), F.col("hit.size").alias("size"), F.col("hit.hash").alias("hash"), F.when(F.col("hit").isNotNull(), F.expr("slice(w, hit.at, hit.size)")).alias("gram")
-    )
+    # the words of a hit are cut out before the rows are made, which then leave the text behind
+    cut = F.transform(found, lambda s: F.struct(s["at"].alias("at"), s["size"].alias("size"), s["hash"].alias("hash"), F.slice("w", s["at"], s["size"]).alias("gram")))
+    each = base.select(key, "_p_text", "n_words", F.explode_outer(cut).alias("hit")).select(key, "_p_text", "n_words", "hit.at", "hit.size", "hit.hash", "hit.gram")
     joined = each.join(windows.select("hash", "gram", "items"), ["hash", "gram"], "left")
     real = F.col("items").isNotNull()
     return joined.select(key, "_p_text", "n_words", F.when(real, F.col("at")).alias("at"), F.when(real, F.col("size")).alias("size"), "items")
@@ -104,14 +104,18 @@ def judge(docs: DataFrame, bench: DataFrame, n: int = 10, key: str = "doc_id", t
                   THEN concat(slice(out, 1, size(out) - 1), array(named_struct('at', element_at(out, -1).at, 'end', greatest(element_at(out, -1).end, x.end))))
                   ELSE concat(out, array(x)) END)""".replace("array(),", "cast(array() AS array<struct<at:int,end:int>>),")
     )
-    out = per_doc.withColumn("spans", merged)
-    return out.select(key, "_p_text", "n_words", F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.at)").alias("n_hit"), "spans", "items")
+    hit = F.expr("aggregate(s, struct(0L AS n, 0 AS reach), (a, x) -> struct(a.n + greatest(0, x.end - greatest(x.at, a.reach)) AS n, greatest(a.reach, x.end) AS reach), a -> a.n)")
+    return per_doc.select(key, "_p_text", "n_words", hit.alias("n_hit"), merged.alias("spans"), "items")
 
 
 def remove_documents(docs: DataFrame, bench: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, without those that hold a window."""
+    docs, names = aside(docs)
+    back = {c: new for new, c in names.items()}
+    key, text = back.get(key, key), back.get(text, text)
     dirty = judge(docs, bench, n, key, text).where("n_hit > 0").select(F.col(key).alias("_p_key"), F.col("_p_text").alias("_p_hash"))
-    return docs.join(dirty, F.col("_p_key").eqNullSafe(docs[key].cast("long")) & (F.col("_p_hash") == F.xxhash64(text_of(docs, text))), "left_anti")
+    mine = F.col("_p_key").eqNullSafe(docs[key].cast("long")) & (F.col("_p_hash") == F.xxhash64(text_of(docs, text)))
+    return restored(docs.join(dirty, mine, "left_anti"), names)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

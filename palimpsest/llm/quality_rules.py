@@ -19,15 +19,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import read, text_of
+from palimpsest.llm.common import aside, read, restored, text_of
 
 SPACE = r"[\x20\x09-\x0D]+"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the base statistics and a few more, all long."""
-    t = text_of(docs, text)
+    """``docs`` with the base statistics and a few more, all long, in place of columns of these names."""
+    docs, names = aside(docs)
+    t = text_of(docs, {c: new for new, c in names.items()}.get(text, text))
     df = docs.withColumn("_p_w", F.array_remove(F.split(t, SPACE), ""))
     grams = F.transform(F.sequence(F.lit(1), F.size("_p_w") - 2), lambda i: F.struct(F.xxhash64(F.slice("_p_w", i, F.lit(3))).alias("h"), i.alias("i")))
     df = df.withColumn("_p_g", F.when(F.size("_p_w") > 3, F.sort_array(grams)))
@@ -37,7 +38,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_p_r", F.when(F.size("_p_w") > 3, again))
     covered = F.expr("aggregate(_p_r, struct(0L AS n, -9 AS last), (a, i) -> struct(a.n + least(3, i - a.last) AS n, i AS last), a -> a.n)")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return df.withColumns(
+    out = df.withColumns(
         {
             "n_words": F.size("_p_w").cast("long"),
             "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
@@ -50,6 +51,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_distinct": F.size(F.array_distinct("_p_w")).cast("long"),
         }
     ).drop("_p_w", "_p_g", "_p_r")
+    return restored(out, names)
 
 
 # Ratios that the rules speak about, as SQL over the statistics.

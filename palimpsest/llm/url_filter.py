@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ascii_lower, read
+from palimpsest.llm.common import ascii_lower, aside, read, restored
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -94,7 +94,8 @@ def train(spark: SparkSession, labelled: list[tuple[int, str, str]] = LABELLED,
 def judge(pages: DataFrame, model: tuple[list[float], float], rules: list[tuple[str, str, str]] = RULES, url: str = "url", threshold: float = 0.5) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``score`` and ``verdict``."""
     weights, bias = model
-    df = pages.withColumn("_p_url", pages[url].cast("string"))
+    pages, names = aside(pages)
+    df = pages.withColumn("_p_url", pages[{c: new for new, c in names.items()}.get(url, url)].cast("string"))
     host, path = host_path(F.col("_p_url"))
     df = df.withColumns({"host": host, "path": path})
     name, say = rule(F.col("host"), F.col("path"), rules)
@@ -103,7 +104,8 @@ def judge(pages: DataFrame, model: tuple[list[float], float], rules: list[tuple[
     total = F.aggregate(F.transform("_p_f", lambda k: F.element_at(table, k)), F.lit(0.0), lambda a, x: a + x)
     z = total / F.sqrt(F.greatest(F.size("_p_f"), F.lit(1))) + F.lit(bias)
     df = df.withColumn("score", 1 / (1 + F.exp(-z)))
-    return df.withColumn("verdict", F.coalesce("_p_say", F.when(F.col("score") >= threshold, "block").otherwise("allow"))).drop("_p_url", "_p_say", "_p_f")
+    out = df.withColumn("verdict", F.coalesce("_p_say", F.when(F.col("score") >= threshold, "block").otherwise("allow")))
+    return restored(out.drop("_p_url", "_p_say", "_p_f"), names)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
