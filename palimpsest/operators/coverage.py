@@ -10,9 +10,14 @@ from palimpsest.operators.integrity import failures
 from palimpsest.operators.spatial import box_join
 
 
+# Gap codes, and those of a cell that nobody has looked at yet.
+GAP_CODES = ["unsearched", "no_source_located", "access_blocked", "dating_unresolved", "not_examined", "partially_examined", "not_digitized"]
+NEW_CELL_GAP_CODES = ["not_digitized", "not_examined", "unsearched"]
+
+
 def spine(areas: DataFrame, periods: DataFrame) -> DataFrame:
-    """Every area with every period; the periods are a short list, and are broadcast."""
-    return areas.crossJoin(F.broadcast(periods))
+    """Every area with every period; a broadcast of the periods is left to their measured size."""
+    return areas.crossJoin(periods)
 
 
 def spine_problems(full: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,12 +37,16 @@ def associate(sources: DataFrame, areas: DataFrame, bin_size: float = 0.125, fir
 
 
 def refresh(full: DataFrame, cells: DataFrame, generated: DataFrame) -> DataFrame:
-    """Spine cells with manual fields kept, and references made anew beside manual ones."""
+    """Spine cells with manual fields kept, and references made anew beside manual ones.
+
+    A cell that was not there gets the codes of one that nobody has looked at.
+    """
     empty = F.array().cast("array<string>")
     manual = F.filter(F.coalesce("source_refs", empty), lambda r: r.startswith("candidate:"))
-    out = full.select("area_id", "decade").join(cells, ["area_id", "decade"], "left").join(generated, ["area_id", "decade"], "left")
-    lists = {c: F.coalesce(c, empty) for c in ("search_ids", "review_ids", "batch_ids", "gap_codes")}
-    return out.withColumns({"source_refs": F.array_sort(F.array_union(manual, F.coalesce("refs", empty))), **lists}).drop("refs")
+    out = full.select("area_id", "decade").join(cells.withColumn("_old", F.lit(True)), ["area_id", "decade"], "left").join(generated, ["area_id", "decade"], "left")
+    lists = {c: F.coalesce(c, empty) for c in ("search_ids", "review_ids", "batch_ids")}
+    lists["gap_codes"] = F.when(F.col("_old"), F.coalesce("gap_codes", empty)).otherwise(F.array(*map(F.lit, NEW_CELL_GAP_CODES)))
+    return out.withColumns({"source_refs": F.array_sort(F.array_union(manual, F.coalesce("refs", empty))), **lists}).drop("refs", "_old")
 
 
 def orphaned_work(cells: DataFrame, full: DataFrame) -> DataFrame:
@@ -54,21 +63,27 @@ def cube(facts: DataFrame, groups: list[str], counters: dict[str, Column], full:
 
 
 def examination(scopes: Column) -> Column:
-    """``whole`` if some review covered the whole footprint, else ``partial``, else ``none``."""
-    return F.when(F.array_contains(scopes, "whole_footprint"), "whole").when(F.size(scopes) > 0, "partial").otherwise("none")
+    """``whole`` if some review covered the whole source footprint, else ``partial``, else ``none``."""
+    return F.when(F.array_contains(scopes, "whole_source_footprint"), "whole").when(F.size(scopes) > 0, "partial").otherwise("none")
 
 
 def inventory_cube(cells: DataFrame, reviews: DataFrame, batches: DataFrame, areas: DataFrame, decades_list: DataFrame) -> DataFrame:
-    """Counts per county and decade; an area counts once in each county that it meets."""
-    seen = reviews.groupBy("area_id", "decade").agg(F.collect_set("scope").alias("scopes"))
+    """Counts per county and decade; an area counts once in each county that it meets.
+
+    A cell is examined as far as the reviews that it names reach, and counts once
+    for each of its gap codes; batches count unless they are only planned.
+    """
+    named = cells.select("area_id", "decade", F.explode("review_ids").alias("review_id")).distinct()
+    seen = named.join(reviews.select("review_id", "scope"), "review_id").groupBy("area_id", "decade").agg(F.collect_set("scope").alias("scopes"))
     each = cells.join(seen, ["area_id", "decade"], "left").join(areas.select("area_id", F.explode("county_geoids").alias("county")), "area_id")
     how = examination(F.coalesce("scopes", F.array().cast("array<string>")))
     counters = {
         "cells": F.lit(True),
         "located": F.size("source_refs") > 0,
-        "whole": how == "whole",
-        "partial": how == "partial",
-        "unexamined": (how == "none") & (F.size("source_refs") > 0),
+        "examined_whole": how == "whole",
+        "examined_partial": how == "partial",
+        "unexamined": how == "none",
+        **{code: F.array_contains("gap_codes", code) for code in GAP_CODES},
     }
     counties = areas.select(F.explode("county_geoids").alias("county")).distinct()
     full = spine(counties, decades_list)
@@ -88,12 +103,21 @@ def membership(areas: DataFrame, array: str) -> DataFrame:
     return each.groupBy("member").agg(F.count("*").alias("n"), F.count_if("shared").alias("n_shared"))
 
 
-def release_gate(batches: DataFrame, counties: DataFrame) -> DataFrame:
-    """Counties whose ready batches lack two decades, one before and one from 2000 on."""
-    got = batches.where("status = 'ready'").groupBy("county_geoid").agg(F.collect_set("decade").alias("d"))
+def release_gate(qualifying: DataFrame, counties: DataFrame) -> DataFrame:
+    """What each county lacks: two decades, one before 2000, one from 2000 on.
+
+    ``qualifying``: the ready batches that pass (see ``qualifying_batches``).
+    """
+    got = qualifying.groupBy("county_geoid").agg(F.array_sort(F.collect_set("decade")).alias("d"))
     each = counties.join(got, counties["county"] == F.col("county_geoid"), "left").withColumn("d", F.coalesce("d", F.array().cast("array<int>")))
-    enough = (F.size("d") >= 2) & F.exists("d", lambda x: x < 2000) & F.exists("d", lambda x: x >= 2000)
-    return failures(each.where(~enough), "release", F.col("county"), F.lit("needs two decades, before and after 2000"))
+    have = F.when(F.size("d") == 0, "none").otherwise(F.concat(F.lit("["), F.array_join("d", ", "), F.lit("]")))
+    said = F.array(
+        F.when(F.size("d") < 2, F.concat(F.lit("needs two decades of status ready batches, has "), have)),
+        F.when(~F.exists("d", lambda x: x < 2000), F.lit("no status ready batch in a decade before 2000")),
+        F.when(~F.exists("d", lambda x: x >= 2000), F.lit("no status ready batch in a decade from 2000 onward")),
+    )
+    lacks = each.select("county", F.explode(F.filter(said, lambda m: m.isNotNull())).alias("_m"))
+    return failures(lacks, "release", F.concat(F.lit("county "), F.col("county")), F.col("_m"))
 
 
 def reasons(df: DataFrame, problems: dict[str, Column]) -> Column:
@@ -101,6 +125,22 @@ def reasons(df: DataFrame, problems: dict[str, Column]) -> Column:
     return F.array_join(F.filter(F.array(*(F.when(c, F.lit(m)) for m, c in problems.items())), lambda m: m.isNotNull()), "; ")
 
 
+def _backed(batches: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Batches that name a resolved, evidenced review of their own county, decade and area."""
+    located = F.trim(F.coalesce("evidence_locator", F.lit(""))) != ""
+    good = reviews.where("dating = 'resolved' AND foot_trail_evidence = 'yes'").where(located).select(
+        F.col("review_id").alias("_rid"), F.col("county_geoid").alias("_rc"), F.col("decade").alias("_rd"), F.col("area_id").alias("_ra")
+    )
+    backed = batches.select("*", F.explode("review_ids").alias("_id")).join(good, (F.col("_id") == F.col("_rid")) & (F.col("county_geoid") == F.col("_rc")) & (F.col("decade") == F.col("_rd")))
+    return backed.where(F.array_contains("area_ids", F.col("_ra"))).select("batch_id").distinct()
+
+
+def qualifying_batches(batches: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Ready batches without a failure of their own."""
+    bad = batch_failures(batches, reviews).select(F.col("record").alias("batch_id"))
+    return batches.where("status = 'ready'").join(bad, "batch_id", "left_anti")
+
+
 def batch_failures(batches: DataFrame, reviews: DataFrame) -> DataFrame:
     """Lifecycle rules, and ready batches without a resolved, evidenced review of their own."""
     bad = reasons(
@@ -113,10 +153,5 @@ def batch_failures(batches: DataFrame, reviews: DataFrame) -> DataFrame:
         },
     )
     rules = failures(batches.withColumn("_m", bad).where("_m <> ''"), "batch", F.col("batch_id"), F.col("_m"))
-    good = reviews.where("dating = 'resolved' AND foot_trail_evidence = 'yes' AND evidence_locator IS NOT NULL").select(
-        F.col("review_id").alias("_rid"), F.col("county_geoid").alias("_rc"), F.col("decade").alias("_rd"), F.col("area_id").alias("_ra")
-    )
-    backed = batches.select("*", F.explode("review_ids").alias("_id")).join(good, (F.col("_id") == F.col("_rid")) & (F.col("county_geoid") == F.col("_rc")) & (F.col("decade") == F.col("_rd")))
-    backed = backed.where(F.array_contains("area_ids", F.col("_ra"))).select("batch_id").distinct()
-    bare = batches.where("status = 'ready'").join(backed, "batch_id", "left_anti")
+    bare = batches.where("status = 'ready'").join(_backed(batches, reviews), "batch_id", "left_anti")
     return rules.unionByName(failures(bare, "batch", F.col("batch_id"), F.lit("ready without a resolved review")))

@@ -1,6 +1,6 @@
 """Restricted values inside published contents: a substring join.
 
-Each value is anchored by its rarest token, so that values meet only contents
+Each value is anchored by its longest inner token, so that values meet only contents
 that hold the token; the substring test then confirms. Values without a token
 are tested directly, and there are few of them by the check of their count.
 """
@@ -17,7 +17,7 @@ def substring_join(contents: DataFrame, content: str, values: DataFrame, value:
     """Rows of contents with each value that occurs in them.
 
     A token strictly inside a value stands whole in any content that holds the
-    value; its first inner token is the anchor.
+    value; its longest inner token is the anchor.
     """
     values = values.where(F.col(value).isNotNull() & (F.trim(value) != ""))
     parts = F.split(value, TOKEN)
@@ -25,8 +25,11 @@ def substring_join(contents: DataFrame, content: str, values: DataFrame, value:
     longest = F.array_max(F.transform(inner, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
     marked = values.withColumn("_anchor", longest)
     anchored, plain = marked.where("_anchor IS NOT NULL"), marked.where("_anchor IS NULL").drop("_anchor")
-    key = contents.withColumn("_token", F.explode(F.array_distinct(F.split(content, TOKEN))))
-    found = key.join(anchored, F.col("_token") == F.col("_anchor")).where(F.contains(content, value)).drop("_token", "_anchor")
+    # tokens travel with a hash of their row, which only picks candidates; texts are joined once, by that hash
+    row = F.xxhash64(*contents.columns)
+    tokens = contents.select(row.alias("_row"), F.explode(F.array_distinct(F.split(content, TOKEN))).alias("_anchor"))
+    hits = tokens.join(anchored.select("_anchor").distinct(), "_anchor", "left_semi").distinct()
+    found = contents.withColumn("_row", row).join(hits, "_row").join(anchored, "_anchor").where(F.contains(content, value)).drop("_row", "_anchor")
     if plain.limit(most_plain + 1).count() <= most_plain:
         plain = F.broadcast(plain)
     return found.unionByName(contents.join(plain, F.contains(content, value)).select(*found.columns))

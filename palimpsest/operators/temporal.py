@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.dates import bound, decade
 
-POSITIVE = ["existence", "public_use"]
+# The roles that open a decade and the one that closes it.
+POSITIVE = ["attests_existence", "attests_public_use"]
+CLOSING = "attests_closure"
 
 
 def ranges(evidence: DataFrame) -> DataFrame:
     """Rows (subject, role, date_start, date_end) with lo, hi, and what they are."""
     df = evidence.withColumns({"lo": bound(F.col("date_start")), "hi": bound(F.coalesce("date_end", "date_start"), upper=True)})
-    sign = F.when(F.col("role").isin(*POSITIVE), "open").when(F.col("role") == "closure", "closed")
+    sign = F.when(F.col("role").isin(*POSITIVE), "open").when(F.col("role") == CLOSING, "closed")
     df = df.withColumns({"sign": sign, "first": decade(F.year("lo")), "last": decade(F.year("hi"))}).where("sign IS NOT NULL AND lo IS NOT NULL AND hi IS NOT NULL")
     return df.withColumn("crossing", F.col("first") != F.col("last"))
 

@@ -34,7 +34,7 @@ def references(trails: DataFrame, alignments: DataFrame, observations: DataFrame
 def geometry(df: DataFrame, key: str, kinds: list[str]) -> DataFrame:
     """Types, ranges, precision of six places, and the validity of rings."""
     flat = F.flatten("rings")
-    rows = df.withColumn("_flat", flat).withColumn("_fine", F.exists(F.flatten("_flat"), lambda v: F.abs(v * 1e6 - F.round(v * 1e6)) > 1e-3))
+    rows = df.withColumn("_flat", flat).withColumn("_fine", F.exists(F.flatten("_flat"), lambda v: v != F.round(v, 6)))
     rules = [("geometry_type", "geometry_type", kinds), ("_flat", "in_range", None), ("_fine", "expression", "NOT _fine")]
     rules += [] if "Point" in kinds else [("_flat", "positions", 2)]
     shapes = df.where("geometry_type = 'Polygon'").select(F.col(key), ring_problem(F.col("rings")[0]).alias("_p")).where("_p IS NOT NULL")

@@ -16,8 +16,9 @@ def build_rows(items: DataFrame, item: str = "item") -> DataFrame:
     df = items.select(F.from_json(item, ITEM).alias("i"))
     parts = S.sheet_parts(F.col("i.urls.GeoTIFF"))
     df = df.withColumn("p", parts).where("p IS NOT NULL")
+    decoded = F.concat_ws("_", "p.state", F.replace(F.col("p.name"), F.lit(" "), F.lit("_")), "p.scan", "p.year", "p.scale")
     return df.select(
-        F.regexp_replace(S.last_segment(F.col("i.urls.GeoTIFF")), r"(?i)_geo\.tif\z", "").alias("topo_id"),
+        decoded.alias("topo_id"),
         F.col("p.name").alias("map_name"),
         F.col("p.scale").alias("scale"),
         F.col("i.extent").alias("extent"),
@@ -25,8 +26,10 @@ def build_rows(items: DataFrame, item: str = "item") -> DataFrame:
         *(F.col(f"i.boundingBox.{a}").alias(b) for a, b in (("minX", "west"), ("minY", "south"), ("maxX", "east"), ("maxY", "north"))),
         F.col("i.sizeInBytes").cast("string").alias("size_bytes"),
         F.col("i.urls.GeoTIFF").alias("geotiff_url"),
-        F.coalesce("i.vendorMetaUrl", "i.metaUrl").alias("metadata_url"),
-        F.col("i.sourceId").alias("source_id"),
+        F.lit("public_domain").alias("rights"),
+        F.coalesce("i.vendorMetaUrl", F.lit("")).alias("metadata_url"),
+        F.coalesce("i.metaUrl", F.lit("")).alias("sciencebase_url"),
+        F.coalesce(F.nullif("i.sourceId", F.lit("")), "p.scan").alias("source_id"),
     )
 
 

@@ -9,18 +9,30 @@ from palimpsest.operators.integrity import EngineError, failures
 
 # Keys that a public edition shows, in this order.
 PUBLIC_KEYS = [
-    "id", "kind", "source_kind", "label", "sheet_name", "scale", "citation", "source_url", "rights", "attribution", "printed_credit_note",
-    "publication_date", "dates", "component_dates", "date_note", "native_resolution_metres", "native_max_zoom", "crop_wgs84", "tile_url",
+    "id", "source_id", "kind", "source_kind", "label", "sheet_name", "scale", "citation", "source_url", "rights", "attribution", "printed_credit_note",
+    "publication_date", "dates", "component_dates", "date_note", "native_resolution_metres", "native_max_zoom", "tile_url",
 ]
 
 
-def public_editions(manifest: DataFrame, order: list[str], built_max: int) -> DataFrame:
-    """Editions in contract order with allowlisted keys and capped zoom."""
+def public_editions(manifest: DataFrame, order: list[str], built_max: int, initial: str | None = None) -> DataFrame:
+    """Editions in contract order with allowlisted keys and capped zoom.
+
+    Ids that repeat, an order that names unknown ones and an initial edition
+    outside it are errors; editions are a short list.
+    """
     at = F.array_position(F.array(*map(F.lit, order)), F.col("id"))
     df = manifest.withColumns({"tile_url": F.concat(F.lit("tiles/"), F.col("id"), F.lit("/{z}/{x}/{y}.png")), "native_max_zoom": F.least("native_max_zoom", F.lit(built_max))})
     lost = [k for k in PUBLIC_KEYS if k not in df.columns]
     if lost:
         raise EngineError("publish", f"manifest lacks {', '.join(lost)}")
+    counts = {r["id"]: r["count"] for r in manifest.groupBy("id").count().collect()}
+    twice, unknown = sorted(str(k) for k, n in counts.items() if n > 1), [k for k in order if k not in counts]
+    if twice:
+        raise EngineError("publish", f"the manifest holds two editions with the id {', '.join(twice)}")
+    if unknown:
+        raise EngineError("publish", f"the order names unknown editions {', '.join(unknown)}")
+    if initial is not None and initial not in order:
+        raise EngineError("publish", f"the initial edition {initial} is not in the order")
     return df.withColumn("position", at).where("position > 0").select("position", *PUBLIC_KEYS)
 
 
@@ -61,7 +73,7 @@ def record_agrees(disk: DataFrame, record: DataFrame, key: str = "edition_id") -
 def contract_fields(manifest: DataFrame, contract: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
     """Editions whose fields differ from the contract's, one failure a field."""
     c = contract.select(F.col(key).alias("_k"), *(F.col(f).alias(f"_{f}") for f in fields))
-    each = manifest.join(F.broadcast(c), F.col(key) == F.col("_k"), "left")
+    each = manifest.join(c, F.col(key) == F.col("_k"), "left")
     said = F.array(F.when(F.col("_k").isNull(), "not in the contract"), *(F.when(F.col("_k").isNotNull() & ~F.col(f).eqNullSafe(F.col(f"_{f}")), F.lit(f"{f} differs")) for f in fields))
     return failures(each.withColumn("_m", F.explode(F.filter(said, lambda m: m.isNotNull()))), "contract", F.col(key), F.col("_m"))
 

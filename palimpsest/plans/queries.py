@@ -91,10 +91,10 @@ def array_fk(t) -> DataFrame:
 
 
 @query(
-    """SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey < 15)"""
+    """SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000)"""
 )
 def containment(t) -> DataFrame:
-    have = t("customer").where("c_mktsegment = 'BUILDING' AND c_nationkey < 15").groupBy(F.lit(1).alias("one")).agg(F.collect_set("c_nationkey").alias("nations"))
+    have = t("customer").where("c_mktsegment = 'BUILDING' AND c_acctbal > 9000").groupBy(F.lit(1).alias("one")).agg(F.collect_set("c_nationkey").alias("nations"))
     found = I.not_contained(t("supplier").withColumn("one_key", F.lit(1)), "s_nationkey", "one_key", have, "one", "nations", "references", "s_suppkey")
     return found.select(F.col("record").cast("long").alias("s_suppkey"))
 
@@ -339,11 +339,11 @@ def exactly_one(t) -> DataFrame:
 
 
 @query(
-    """(SELECT s_nationkey AS k, 'left' AS side FROM supplier EXCEPT SELECT c_nationkey, 'left' FROM customer WHERE c_acctbal < 0 AND c_nationkey < 20)
-       UNION ALL (SELECT c_nationkey, 'right' FROM customer WHERE c_acctbal < 0 AND c_nationkey < 20 EXCEPT SELECT s_nationkey, 'right' FROM supplier)"""
+    """(SELECT s_nationkey AS k, 'left' AS side FROM supplier EXCEPT SELECT c_nationkey, 'left' FROM customer WHERE c_acctbal < -900)
+       UNION ALL (SELECT c_nationkey, 'right' FROM customer WHERE c_acctbal < -900 EXCEPT SELECT s_nationkey, 'right' FROM supplier)"""
 )
 def set_difference(t) -> DataFrame:
-    return I.set_difference(t("supplier").select(F.col("s_nationkey").alias("k")), t("customer").where("c_acctbal < 0 AND c_nationkey < 20").select(F.col("c_nationkey").alias("k")))
+    return I.set_difference(t("supplier").select(F.col("s_nationkey").alias("k")), t("customer").where("c_acctbal < -900").select(F.col("c_nationkey").alias("k")))
 
 
 @query(
@@ -354,12 +354,12 @@ def source_card(t) -> DataFrame:
     return card(t("supplier"), "s_suppkey", {"Name": F.col("s_name"), "Nation": F.when(F.col("s_nationkey") > 4, F.col("s_nationkey")), "Key": F.col("s_suppkey")})
 
 
-_ROLE = "CASE event_type WHEN 'view' THEN 'existence' WHEN 'purchase' THEN 'public_use' WHEN 'error' THEN 'closure' ELSE 'alignment' END"
+_ROLE = "CASE WHEN event_type = 'error' THEN 'attests_closure' WHEN event_id % 3 = 0 AND event_type = 'view' THEN 'attests_existence' WHEN event_id % 3 = 0 AND event_type = 'purchase' THEN 'attests_public_use' WHEN event_id % 3 = 0 THEN 'attests_alignment' ELSE 'attests_name' END"
 
 
 @query(
-    f"""WITH ev AS (SELECT user_id AS subject, {_ROLE} AS role, 1950 + CAST((event_id * 7919) % 80 AS INT) AS y1, 1950 + CAST((event_id * 7919) % 80 AS INT) + CAST(event_id % 4 AS INT) AS y2 FROM events WHERE event_id % 3 = 0 OR event_type = 'error'),
-        r AS (SELECT subject, CASE WHEN role = 'closure' THEN 'closed' ELSE 'open' END AS sign, make_date(y1, 1, 1) AS lo, make_date(y2, 12, 31) AS hi, y1 // 10 * 10 AS fd, y2 // 10 * 10 AS ld FROM ev WHERE role <> 'alignment'),
+    f"""WITH ev AS (SELECT user_id AS subject, {_ROLE} AS role, 1950 + CAST((event_id * 7919) % 80 AS INT) AS y1, 1950 + CAST((event_id * 7919) % 80 AS INT) + CAST(event_id % 4 AS INT) AS y2 FROM events),
+        r AS (SELECT subject, CASE WHEN role = 'attests_closure' THEN 'closed' ELSE 'open' END AS sign, make_date(y1, 1, 1) AS lo, make_date(y2, 12, 31) AS hi, y1 // 10 * 10 AS fd, y2 // 10 * 10 AS ld FROM ev WHERE role NOT IN ('attests_alignment', 'attests_name')),
         p AS (SELECT subject, d AS decade FROM (SELECT DISTINCT user_id AS subject FROM events), (SELECT CAST(unnest(range(1950, 2040, 10)) AS INT) AS d)),
         f AS (SELECT p.subject, p.decade, coalesce(bool_or(fd = ld AND fd = decade AND sign = 'open'), false) AS o, coalesce(bool_or(fd = ld AND fd = decade AND sign = 'closed'), false) AS c,
               max({{'hi': hi, 'lo': lo}}) FILTER (fd = ld AND sign = 'open' AND hi < make_date(decade, 1, 1)) AS bef, min({{'lo': lo, 'hi': hi}}) FILTER (fd = ld AND sign = 'open' AND lo > make_date(decade + 9, 12, 31)) AS aft,
@@ -373,9 +373,8 @@ _ROLE = "CASE event_type WHEN 'view' THEN 'existence' WHEN 'purchase' THEN 'publ
         SELECT subject, decade, split_part(s, ' ', 1) AS state, split_part(s, ' ', 2) AS reason FROM v"""
 )
 def decade_state(t) -> DataFrame:
-    role = F.when(F.col("event_type") == "view", "existence").when(F.col("event_type") == "purchase", "public_use").when(F.col("event_type") == "error", "closure").otherwise("alignment")
     y = F.lit(1950) + (F.col("event_id") * 7919) % 80
-    ev = t("events").where("event_id % 3 = 0 OR event_type = 'error'").select(F.col("user_id").alias("subject"), role.alias("role"), y.cast("string").alias("date_start"), (y + F.col("event_id") % 4).cast("string").alias("date_end"))
+    ev = t("events").select(F.col("user_id").alias("subject"), F.expr(_ROLE).alias("role"), y.cast("string").alias("date_start"), (y + F.col("event_id") % 4).cast("string").alias("date_end"))
     subjects = t("events").select(F.col("user_id").alias("subject")).distinct().withColumn("decade", F.explode(F.sequence(F.lit(1950), F.lit(2030), F.lit(10))))
     return decade_states(ev, subjects)
 

@@ -14,21 +14,21 @@ from pyspark.sql import functions as F
 
 
 def state(spark, decade, *evidence_rows):
-    ev = spark.createDataFrame([("s", *e) for e in evidence_rows] or [("other", "closure", "1900", None)], "subject string, role string, date_start string, date_end string")
+    ev = spark.createDataFrame([("s", *e) for e in evidence_rows] or [("other", "attests_closure", "1900", None)], "subject string, role string, date_start string, date_end string")
     r = decade_states(ev, spark.createDataFrame([("s", decade)], "subject string, decade int")).first()
     return r.state, r.reason
 
 
 def test_decade_states(spark):
     assert state(spark, 1960) == ("unobserved", "no_resolving_evidence")
-    assert state(spark, 1960, ("existence", "1965", None)) == ("documented_open", "documented_evidence")
-    assert state(spark, 1960, ("closure", "1965", None)) == ("documented_closed", "documented_evidence")
-    assert state(spark, 1960, ("existence", "1965", None), ("closure", "1966", None)) == ("unobserved", "conflicting_evidence")
-    assert state(spark, 1960, ("existence", "1955", None), ("public_use", "1975", None)) == ("inferred_open", "inferred_between_observations")
-    assert state(spark, 1960, ("existence", "1955", None), ("closure", "1957", None), ("existence", "1975", None)) == ("unobserved", "closure_in_bracket")
-    assert state(spark, 1960, ("existence", "1958", "1963")) == ("unobserved", "date_range_unresolved")
-    assert state(spark, 1960, ("alignment", "1965", None)) == ("unobserved", "no_resolving_evidence")
-    assert state(spark, 1960, ("existence", "1955", None)) == ("unobserved", "no_resolving_evidence")
+    assert state(spark, 1960, ("attests_existence", "1965", None)) == ("documented_open", "documented_evidence")
+    assert state(spark, 1960, ("attests_closure", "1965", None)) == ("documented_closed", "documented_evidence")
+    assert state(spark, 1960, ("attests_existence", "1965", None), ("attests_closure", "1966", None)) == ("unobserved", "conflicting_evidence")
+    assert state(spark, 1960, ("attests_existence", "1955", None), ("attests_public_use", "1975", None)) == ("inferred_open", "inferred_between_observations")
+    assert state(spark, 1960, ("attests_existence", "1955", None), ("attests_closure", "1957", None), ("attests_existence", "1975", None)) == ("unobserved", "closure_in_bracket")
+    assert state(spark, 1960, ("attests_existence", "1958", "1963")) == ("unobserved", "date_range_unresolved")
+    assert state(spark, 1960, ("attests_alignment", "1965", None)) == ("unobserved", "no_resolving_evidence")
+    assert state(spark, 1960, ("attests_existence", "1955", None)) == ("unobserved", "no_resolving_evidence")
 
 
 def test_box_join_matches_all_pairs(spark):
@@ -86,11 +86,13 @@ def test_leaks_find_values_without_tokens(spark):
 
 def test_cube_is_filled(spark):
     areas = spark.createDataFrame([("a", ["n", "p"]), ("b", ["n"])], "area_id string, county_geoids array<string>")
-    cells = spark.createDataFrame([("a", 1950, ["topo:1"]), ("b", 1950, [])], "area_id string, decade int, source_refs array<string>")
-    reviews = spark.createDataFrame([("a", 1950, "whole_footprint")], "area_id string, decade int, scope string")
+    cells = spark.createDataFrame([("a", 1950, ["topo:1"], ["r1", "r2"], ["not_digitized"]), ("b", 1950, [], ["r2"], ["not_digitized", "partially_examined"]), ("b", 1960, [], [], [])], "area_id string, decade int, source_refs array<string>, review_ids array<string>, gap_codes array<string>")
+    reviews = spark.createDataFrame([("r1", "whole_source_footprint"), ("r2", "part")], "review_id string, scope string")
     batches = spark.createDataFrame([("n", 1950, "ready"), ("n", 1950, "planned")], "county_geoid string, decade int, status string")
     rows = {(r.county, r.decade): r for r in C.inventory_cube(cells, reviews, batches, areas, spark.createDataFrame([(1950,), (1960,)], "decade int")).collect()}
-    assert (rows["n", 1950].cells, rows["n", 1950].located, rows["n", 1950].whole, rows["n", 1950].ready) == (2, 1, 1, 1)
+    r = rows["n", 1950]
+    assert (r.cells, r.located, r.examined_whole, r.examined_partial, r.unexamined, r.not_digitized, r.partially_examined, r.ready) == (2, 1, 1, 1, 0, 2, 1, 1)
+    assert rows["n", 1960].unexamined == 1
     assert rows["p", 1960].cells == 0 and len(rows) == 4
 
 
@@ -145,3 +147,56 @@ def test_session_stream_equals_replay(spark, tmp_path):
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("sessions").collect())) == sorted(map(tuple, V.replay(df, ["a", "b"]).collect()))
     assert F is not None
+
+
+def test_decade_states_ignore_other_roles(spark):
+    assert state(spark, 1960, ("attests_existence", "1968", "1972")) == ("unobserved", "date_range_unresolved")
+    assert state(spark, 1960, ("existence", "1963", None)) == ("unobserved", "no_resolving_evidence")
+    assert state(spark, 1960, ("attests_existence", "1954", None), ("attests_public_use", "1978", None), ("attests_closure", "1958", None)) == ("unobserved", "closure_in_bracket")
+    assert state(spark, 1960, ("attests_existence", "1954", None), ("attests_public_use", "1978", None), ("attests_closure", "1962", None)) == ("documented_closed", "documented_evidence")
+
+
+def test_refresh_marks_new_cells(spark):
+    full = spark.createDataFrame([("a", 1950), ("a", 1960)], "area_id string, decade int")
+    old = "area_id string, decade int, source_refs array<string>, search_ids array<string>, review_ids array<string>, batch_ids array<string>, gap_codes array<string>, gap_note string"
+    cells = spark.createDataFrame([("a", 1950, ["candidate:1", "topo:old"], ["s"], [], [], ["unsearched"], None)], old)
+    made = spark.createDataFrame([("a", 1950, ["topo:2"]), ("a", 1960, ["topo:3"])], "area_id string, decade int, refs array<string>")
+    rows = {r.decade: r for r in C.refresh(full, cells, made).collect()}
+    assert rows[1950].source_refs == ["candidate:1", "topo:2"] and rows[1950].gap_codes == ["unsearched"]
+    assert rows[1960].source_refs == ["topo:3"] and rows[1960].gap_codes == C.NEW_CELL_GAP_CODES and rows[1960].search_ids == []
+
+
+def test_release_counts_qualifying_batches(spark):
+    kind = "batch_id string, county_geoid string, decade int, status string, alignment_ids array<string>, tasks array<string>, source_refs array<string>, review_ids array<string>, area_ids array<string>"
+    row = lambda i, c, d, s, r: (i, c, d, s, [], ["t"], ["topo:1"], r, ["a"])
+    batches = spark.createDataFrame([row("b1", "n", 1950, "ready", ["r1"]), row("b2", "n", 2010, "ready", ["r2"]), row("b3", "p", 1960, "ready", ["r3"]), row("b4", "p", 2000, "planned", [])], kind)
+    reviews = spark.createDataFrame(
+        [("r1", "n", 1950, "a", "resolved", "yes", "sheet 1"), ("r2", "n", 2010, "a", "resolved", "yes", "sheet 2"), ("r3", "p", 1960, "a", "resolved", "yes", " ")],
+        "review_id string, county_geoid string, decade int, area_id string, dating string, foot_trail_evidence string, evidence_locator string",
+    )
+    good = C.qualifying_batches(batches, reviews)
+    assert sorted(r.batch_id for r in good.collect()) == ["b1", "b2"]
+    gate = C.release_gate(good, spark.createDataFrame([("n",), ("p",)], "county string")).collect()
+    assert {(r.record, r.message) for r in gate} == {
+        ("county p", "needs two decades of status ready batches, has none"),
+        ("county p", "no status ready batch in a decade before 2000"),
+        ("county p", "no status ready batch in a decade from 2000 onward"),
+    }
+
+
+def test_public_editions_are_checked(spark):
+    from palimpsest.plans import publish
+
+    names = [k for k in publish.PUBLIC_KEYS if k not in ("id", "native_max_zoom", "tile_url")]
+    m = spark.createDataFrame([("a", 18, "x"), ("b", 12, "x"), ("c", 12, "x")], "id string, native_max_zoom int, crop_wgs84 string").select("*", *(F.lit("v").alias(k) for k in names))
+    rows = publish.public_editions(m, ["b", "a"], 16, "b").orderBy("position").collect()
+    assert [r.id for r in rows] == ["b", "a"] and rows[1].native_max_zoom == 16 and "crop_wgs84" not in rows[0] and rows[0].source_id == "v"
+    for bad in ((m.unionByName(m), ["a"], "a"), (m, ["a", "z"], "a"), (m, ["a"], "b")):
+        with pytest.raises(I.EngineError):
+            publish.public_editions(bad[0], bad[1], 16, bad[2])
+
+
+def test_six_places_are_exact(spark):
+    rings = [[[-121.0, 39.0], [-120.123456, 39.5], [-120.0, 39.0], [-121.0, 39.0]], [[-121.0, 39.0], [-120.1234560001, 39.5], [-120.0, 39.0], [-121.0, 39.0]]]
+    df = spark.createDataFrame([("good", "Polygon", [rings[0]]), ("fine", "Polygon", [rings[1]])], "id string, geometry_type string, rings array<array<array<double>>>")
+    assert {r.record for r in evidence.geometry(df, "id", ["Polygon"]).collect()} == {"fine"}

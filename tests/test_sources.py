@@ -43,6 +43,9 @@ def test_paged_catalogue_and_index(spark, tmp_path):
     rows = X.build_rows(items)
     assert sorted(r.date_on_map for r in rows.collect()) == ["1940", "1941", "1942"]
     assert len(INDEX_COLUMNS) == 28
+    coded = {"urls": {"GeoTIFF": "https://h/CA_Lake%20Combie_123_1950_24000_geo.tif"}, "metaUrl": "https://m"}
+    row = X.build_rows(spark.createDataFrame([(json.dumps(coded),)], "item string")).first()
+    assert (row.topo_id, row.map_name, row.metadata_url, row.sciencebase_url, row.source_id, row.rights) == ("CA_Lake_Combie_123_1950_24000", "Lake Combie", "", "https://m", "123", "public_domain")
 
 
 def test_xml(spark):
