@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of
 documents; each is written to the shared folder and read again by ``run``, so a
 lost executor never sends the work back over a stage.
+
+Cases, for every stage: null and empty texts are clean, are no duplicates of
+anything and are kept (as one end token each in the last); null ids sort last
+and stay null; repeated rows of one id and text are treated alike and all kept;
+ties go to the least id; an empty table stays empty; texts of any length are
+read whole; other columns than those of documents are not carried along.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without runs of lines that an earlier one has."""
+    """Every document, without passages of 30 words or more that an earlier place has."""
     return line_dedup.dedup_lines(docs).select(*COLUMNS)
 
 
