@@ -11,12 +11,14 @@ up to ``node`` classes are compared exhaustively: sketches rule out pairs far
 below the threshold, and each pair left that is not connected yet is confirmed
 on full sets. Larger nodes branch again by the two least shingles of the next
 level, so that a pair has two chances to stay together; after the last level,
-what is still too large is dealt into random blocks.
+what is still too large is dealt into random blocks. A node of which one
+component holds a quarter does not branch: a group of copies shares the next
+shingles too, and would only stand in several nodes with the same others.
 
 The first tree has its root only and serves to connect the large groups: its
 large nodes are dealt out at once, with one class as an anchor in each block.
-The others then run together. Nodes that were dealt into blocks there and still
-hold several components have all pairs of their blocks compared, but those in
+The others then run together. Nodes that did not branch or were dealt into blocks
+there, and still hold several components, have all pairs of their blocks compared, but those in
 which all belong to the node's largest component. A pair at the threshold in
 small nodes is so missed with a chance of about 0.25 ** trees.
 
@@ -31,6 +33,7 @@ several is linked to the least id; other columns are carried along by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -220,18 +223,19 @@ class _Search:
         return rows.join(self.known, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
     def _mixed(self, nodes: DataFrame) -> DataFrame:
-        """Members of nodes with several components: ``n`` classes, and one of them as ``anchor``."""
-        # whole counts are made map-side; a node with one class or one component is done
-        count = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("node", "cls").alias("h"), "cls")).alias("least"))
-        return nodes.join(count.where("n > 1 AND lo <> hi").select("node", "n", F.col("least.cls").alias("anchor")), "node")
+        """Members of nodes with several components: ``n`` classes, ``most`` in one component, and one of them as ``anchor``."""
+        # counts are made map-side, by component first; a node with one class or one component is done
+        parts = nodes.groupBy("node", "comp").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", "cls").alias("h"), "cls")).alias("least"))
+        count = parts.groupBy("node").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.min("least").alias("least"))
+        return nodes.join(count.where("most < n").select("node", "n", "most", F.col("least.cls").alias("anchor")), "node")
 
     def trees(self, trees: range, levels: int) -> DataFrame | None:
-        """Link within the nodes of some trees; the members of nodes that were dealt out, if any."""
+        """Link within the nodes of some trees; of deeper ones, the members of nodes whose blocks have yet to meet, if any."""
         per_tree = 1 + 2 * (LEVELS - 1)
         token = lambda k: F.substring("paths", k * 8 + 1, 8)
         roots = F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), token(t * per_tree)).alias("node")) for t in trees))
         nodes = self._with_comp(self.classes.select("cls", roots.alias("roots"))).select("cls", "comp", F.explode("roots").alias("n")).select("cls", "comp", "n.tree", "n.node")
-        ready, tables, dealt = [], [], None
+        ready, tables, met = [], [], []
         for level in range(levels):
             mixed = save(self._mixed(nodes), "nodes")
             tables.append(mixed)
@@ -240,6 +244,10 @@ class _Search:
             if not large.limit(1).count():
                 break
             if level < levels - 1:
+                # a component with a quarter of a node shares the next shingles too: its node is not split by branching
+                whole = F.col("most") * 4 >= F.col("n")
+                met.append(large.where(whole).select("node", "cls"))
+                large = large.where(~whole)
                 chosen = []
                 for t in trees:
                     base = t * per_tree + 1 + 2 * level
@@ -252,11 +260,12 @@ class _Search:
             own = large.select(F.xxhash64("node", F.pmod(F.xxhash64("cls", "node"), blocks)).alias("node"), "cls")
             anchors = large.where("cls = anchor").select("node", "cls", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
             ready.append(own.unionByName(anchors.select(F.xxhash64("node", "block").alias("node"), "cls")).distinct())
-            dealt = save(large.select("node", "cls"), "dealt")
-        members = ready[0]
-        for more in ready[1:]:
-            members = members.unionByName(more)
-        self._link(members)
+            met.append(large.select("node", "cls"))
+        self._link(reduce(DataFrame.unionByName, ready))
+        dealt = save(reduce(DataFrame.unionByName, met), "dealt") if met and levels > 1 else None
+        if dealt is not None and not dealt.limit(1).count():
+            remove(dealt)
+            dealt = None
         for t in tables:
             remove(t)
         return dealt
