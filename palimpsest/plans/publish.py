@@ -51,7 +51,7 @@ def card(df: DataFrame, key: str, rows: dict[str, Column]) -> DataFrame:
 def notice(status: Column, name: Column, error: Column) -> Column:
     return (
         F.when(status == "loading", F.format_string("Loading %s.", name))
-        .when(status == "failed", F.format_string("%s could not be shown: %s", name, F.coalesce(error, F.lit("no detail"))))
+        .when(status == "error", F.format_string("%s could not be shown: %s", name, F.coalesce(error, F.lit("no detail"))))
         .when(status == "displayed", F.format_string("Showing %s.", name))
         .otherwise(F.lit(""))
     )

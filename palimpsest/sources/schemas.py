@@ -11,4 +11,4 @@ INDEX_COLUMNS = [
 INDEX = ", ".join(f"{c} string" for c in INDEX_COLUMNS)
 FEATURES = "type string, crs struct<properties:struct<name:string>>, features array<string>"
 RECEIPT = "version int, kind string, source string, topo_id string, source_id string, indexed_url string, retrieval_url string, metadata_url string, rights string, sha256 string, byte_count long, raw_path string, retrieved_at string, recorded_at string, basis string"
-EVENTS = "session string, seq long, type string, edition_id string, source_id string, message string, source_loaded boolean"
+EVENTS = "session string, seq long, type string, edition_id string, source_id string, message string, source_loaded boolean, generation long, viewport_token long"

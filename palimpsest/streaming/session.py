@@ -13,77 +13,101 @@ from dataclasses import asdict, dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
-OUTPUT = "session string, seq long, type string, requested string, displayed string, generation long, token long, status string, error string, warning string, commands string"
+from palimpsest.operators.integrity import EngineError
+
+OUTPUT = "session string, seq long, type string, requested string, displayed string, generation long, token long, status string, error string, warning string, rejected string, commands string"
 
 
 @dataclass
 class State:
-    requested: str | None = None
+    """Nothing is on screen until tiles have come, so a session starts by loading its first edition."""
+
+    requested: str
     displayed: str | None = None
     generation: int = 0
     token: int = 0
-    status: str = "idle"
+    status: str = "loading"
     error: str | None = None
     warning: str | None = None
     reloads: dict[str, int] = field(default_factory=dict)
     resets: int = 0
-    asked: list = field(default_factory=lambda: [0, 0])  # generation and token of the open request
+    rejected: str | None = None  # why the last event was refused
+
+
+def opening(editions: list[str], initial: str | None = None) -> State:
+    """State before any event; an initial edition outside the order is an error."""
+    if not editions or (initial is not None and initial not in editions):
+        raise EngineError("session", f"the initial edition {initial} is not in the order" if editions else "there are no editions")
+    return State(initial or editions[0])
+
+
+def _select(s: State, edition: str) -> list[str]:
+    if edition == s.requested and s.status == "displayed":
+        return []
+    left = s.requested if s.requested not in (edition, s.displayed) else None
+    shown = edition == s.displayed
+    s.requested, s.error, s.status = edition, None, "displayed" if shown else "loading"
+    s.generation += 1
+    return [f"hide:{left}"] * (left is not None) + [f"show:{edition}"] * (not shown)
 
 
-def _request(s: State, edition: str) -> None:
-    s.requested, s.error = edition, None
+def _retry(s: State) -> list[str]:
+    edition, shown, out = s.requested, s.requested == s.displayed, []
+    if not shown or s.warning is not None:
+        s.reloads[edition] = s.reloads.get(edition, 0) + 1
+        out = [f"reload:{edition}:{s.reloads[edition]}"] + [f"show:{edition}"] * (not shown)
+    if shown:
+        s.warning = None  # the tiles are asked for again
     s.generation += 1
-    s.status = "displayed" if edition == s.displayed else "loading"
-    s.asked = [s.generation, s.token]
+    s.status, s.error = "displayed" if shown else "loading", None
+    return out
+
+
+def _current(s: State, event: dict) -> bool:
+    """The answer is to the open request, seen from where the camera is; unstamped answers are."""
+    return event.get("generation") in (None, s.generation) and event.get("viewport_token") in (None, s.token)
 
 
 def step(s: State, event: dict, editions: list[str]) -> list[str]:
-    """Change the state by one event; the commands for the map come back in order."""
+    """Change the state by one event; the commands for the map come back in order.
+
+    An unknown edition is refused: ``rejected`` says why and nothing else changes,
+    so that one bad event does not end a stream. A warning stays through moves and
+    further selections until another edition is shown or the shown one is retried.
+    """
     kind, edition = event["type"], event.get("edition_id")
+    s.rejected = None
     if kind == "select":
-        if edition not in editions:
-            s.error = f"unknown edition {edition}"
-        elif not (edition == s.displayed == s.requested):
-            s.warning = None
-            _request(s, edition)
-            return [f"show:{edition}"]
+        if edition in editions:
+            return _select(s, edition)
+        s.rejected = f"unknown edition {edition}"
     elif kind in ("previous", "next"):
-        at = editions.index(s.requested) if s.requested in editions else 0
-        to = at + (1 if kind == "next" else -1)
+        to = editions.index(s.requested) + (1 if kind == "next" else -1)
         if 0 <= to < len(editions):
-            s.warning = None
-            _request(s, editions[to])
-            return [f"show:{editions[to]}"]
-    elif kind == "retry" and s.requested:
-        if s.requested != s.displayed or s.warning:
-            s.reloads[s.requested] = s.reloads.get(s.requested, 0) + 1
-        if s.requested == s.displayed:
-            s.warning = None
-        _request(s, s.requested)
-        return [f"reload:{s.requested}:{s.reloads.get(s.requested, 0)}"]
+            return _select(s, editions[to])
+    elif kind == "retry":
+        return _retry(s)
     elif kind == "reset":
         s.resets += 1
         return ["camera:reset"]
     elif kind in ("movestart", "zoomstart"):
         s.token += 1
-        if s.status == "loading":
-            s.asked[1] = s.token
     elif kind == "idle":
-        current = event.get("generation") in (None, s.generation) and s.asked == [s.generation, s.token]
-        if s.status == "loading" and event.get("source_loaded") and current:
-            old, s.displayed, s.status = s.displayed, s.requested, "displayed"
-            return [f"reveal:{s.displayed}", *([f"hide:{old}"] if old and old != s.displayed else [])]
+        if s.status == "loading" and event.get("source_loaded") and _current(s, event):
+            old, s.displayed, s.status, s.error, s.warning = s.displayed, s.requested, "displayed", None, None
+            return [] if old == s.displayed else [f"reveal:{s.displayed}"] + [f"hide:{old}"] * (old is not None)
     elif kind == "error":
-        source, message = event.get("source_id"), event.get("message") or "tile failed"
+        source, message = event.get("source_id"), event.get("message") or "tile request failed"
         if s.status == "loading" and source in (None, s.requested):
-            s.status, s.error = "failed", message
-        elif source is not None and source == s.displayed and s.warning != message:
+            if event.get("generation") in (None, s.generation):
+                s.status, s.error = "error", message
+        elif source is not None and source == s.displayed:
             s.warning = message
     return []
 
 
 def _row(session: str, event: dict, s: State, commands: list[str]) -> tuple:
-    return (session, event["seq"], event["type"], s.requested, s.displayed, s.generation, s.token, s.status, s.error, s.warning, " ".join(commands))
+    return (session, event["seq"], event["type"], s.requested, s.displayed, s.generation, s.token, s.status, s.error, s.warning, s.rejected, " ".join(commands))
 
 
 _NAMES = [f.split()[0] for f in OUTPUT.split(", ")]
@@ -94,26 +118,31 @@ def _clean(frame: pd.DataFrame) -> list[dict]:
     return sorted(rows, key=lambda e: e["seq"])
 
 
-def replay(events: DataFrame, editions: list[str]) -> DataFrame:
+def replay(events: DataFrame, editions: list[str], initial: str | None = None) -> DataFrame:
     """State after every event of a finished table."""
+    opening(editions, initial)
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        s = State()
-        return pd.DataFrame([_row(key[0], e, s, step_out) for e in _clean(frame) if (step_out := step(s, e, editions)) is not None], columns=_NAMES)
+        s, out = opening(editions, initial), []
+        for e in _clean(frame):
+            commands = step(s, e, editions)
+            out.append(_row(key[0], e, s, commands))
+        return pd.DataFrame(out, columns=_NAMES)
 
     return events.groupBy("session").applyInPandas(run, OUTPUT)
 
 
-def stream(events: DataFrame, editions: list[str]) -> DataFrame:
+def stream(events: DataFrame, editions: list[str], initial: str | None = None) -> DataFrame:
     """State after every event of a stream; nothing expires by time."""
+    opening(editions, initial)
 
     def run(key, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        s = State(**json.loads(held.get[0])) if held.exists else State()
+        s = State(**json.loads(held.get[0])) if held.exists else opening(editions, initial)
+        whole = pd.concat(list(frames))  # a session's events of one batch, put in order before any is applied
         out = []
-        for frame in frames:
-            for e in _clean(frame):
-                commands = step(s, e, editions)
-                out.append(_row(key[0], e, s, commands))
+        for e in _clean(whole):
+            commands = step(s, e, editions)
+            out.append(_row(key[0], e, s, commands))
         held.update((json.dumps(asdict(s)),))
         yield pd.DataFrame(out, columns=_NAMES)
 

@@ -127,26 +127,50 @@ def events(*kinds):
 
 
 def test_session_rejects_late_answers(spark):
-    s, names = V.State(), ["a", "b"]
-    V.step(s, events(("select", "a"))[0], names)
-    assert s.status == "loading" and s.generation == 1
-    V.step(s, {"type": "idle", "source_loaded": True, "generation": 0}, names)
-    assert s.status == "loading"
-    assert V.step(s, {"type": "idle", "source_loaded": True}, names) == ["reveal:a"]
-    assert V.step(s, {"type": "previous"}, names) == [] and s.generation == 1
-    rows = V.replay(spark.createDataFrame(events(("select", "a"), ("idle", None), ("next", None), ("idle", None)), "session string, seq long, type string, edition_id string, source_id string, message string, source_loaded boolean"), names).orderBy("seq").collect()
-    assert rows[-1].displayed == "b" and rows[-1].commands == "reveal:b hide:a"
+    names = ["a", "b", "c"]
+    s = V.opening(names)
+    idle = {"type": "idle", "source_loaded": True}
+    assert (s.requested, s.status, s.displayed) == ("a", "loading", None)
+    assert V.step(s, idle, names) == ["reveal:a"] and V.step(s, {"type": "previous"}, names) == []
+    assert V.step(s, {"type": "next"}, names) == ["show:b"] and s.generation == 1
+    assert V.step(s, idle | {"generation": 0}, names) == [] and s.status == "loading"
+    V.step(s, {"type": "movestart"}, names)
+    assert V.step(s, idle | {"generation": 1, "viewport_token": 0}, names) == [] and s.status == "loading"
+    assert V.step(s, idle | {"generation": 1, "viewport_token": 1}, names) == ["reveal:b", "hide:a"]
+    assert V.step(s, {"type": "select", "edition_id": "zz"}, names) == [] and (s.rejected, s.requested, s.status) == ("unknown edition zz", "b", "displayed")
+
+
+def test_session_keeps_a_warning_until_a_display_or_a_retry():
+    names = ["a", "b", "c"]
+    s = V.opening(names)
+    V.step(s, {"type": "idle", "source_loaded": True}, names)
+    V.step(s, {"type": "error", "source_id": "a", "message": "gap"}, names)
+    assert (s.warning, s.status) == ("gap", "displayed")
+    V.step(s, {"type": "select", "edition_id": "b"}, names)
+    V.step(s, {"type": "error", "source_id": "b"}, names)
+    assert (s.status, s.error, s.warning) == ("error", "tile request failed", "gap")
+    assert V.step(s, {"type": "idle", "source_loaded": True}, names) == [] and s.displayed == "a"
+    assert V.step(s, {"type": "select", "edition_id": "a"}, names) == ["hide:b"] and (s.status, s.warning) == ("displayed", "gap")
+    assert V.step(s, {"type": "retry"}, names) == ["reload:a:1"] and s.warning is None
+    V.step(s, {"type": "error", "source_id": "a", "message": "again"}, names)
+    V.step(s, {"type": "select", "edition_id": "c"}, names)
+    assert V.step(s, {"type": "retry"}, names) == ["reload:c:1", "show:c"] and s.warning == "again"
+    V.step(s, {"type": "idle", "source_loaded": True}, names)
+    assert s.displayed == "c" and s.warning is None
 
 
 def test_session_stream_equals_replay(spark, tmp_path):
-    schema = "session string, seq long, type string, edition_id string, source_id string, message string, source_loaded boolean"
-    df = spark.createDataFrame(events(("select", "a"), ("idle", None), ("select", "b"), ("error", None)), schema)
+    from palimpsest.sources.schemas import EVENTS
+
+    df = spark.createDataFrame([(*e.values(), None, None) for e in events(("select", "b"), ("idle", None), ("select", "a"), ("error", None))], EVENTS)
     df.write.json(str(tmp_path / "in"))
-    out = V.stream(spark.readStream.schema(schema).json(str(tmp_path / "in")), ["a", "b"])
+    out = V.stream(spark.readStream.schema(EVENTS).json(str(tmp_path / "in")), ["a", "b"])
     q = out.writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sorted(map(tuple, spark.table("sessions").collect())) == sorted(map(tuple, V.replay(df, ["a", "b"]).collect()))
-    assert F is not None
+    rows = sorted(map(tuple, V.replay(df, ["a", "b"]).collect()))
+    assert sorted(map(tuple, spark.table("sessions").collect())) == rows and rows[1][-1] == "reveal:b"
+    with pytest.raises(I.EngineError):
+        V.replay(df, ["a"], "b")
 
 
 def test_decade_states_ignore_other_roles(spark):
