@@ -14,7 +14,7 @@ CRS_NAMES = ["urn:ogc:def:crs:OGC:1.3:CRS84", "urn:ogc:def:crs:EPSG::4326", "EPS
 PATTERNS = {
     "slug": r"^[a-z0-9]+(-[a-z0-9]+)*\z",
     "sha256": r"^[0-9a-f]{64}\z",
-    "source_ref": r"^(topo|candidate):.+\z",
+    "source_ref": r"^(topo:[A-Za-z0-9][A-Za-z0-9_.-]*|candidate:[a-z0-9]+(-[a-z0-9]+)*)\z",
     "area_id": r"^q7p5-\d+-\d+\z",
     "edition_id": r"^[a-z0-9]+(-[a-z0-9]+)*\z",
 }
@@ -84,21 +84,5 @@ def unknown_keys(df: DataFrame, raw: str, allowed: list[str], record: str, check
     return failures(each, check, F.col("_r"), F.concat(F.lit("unknown property "), F.col("_k")))
 
 
-def restricted_paths(schema: dict, at: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
-    """Paths marked restricted, and paths without a mark, of a JSON schema."""
-    marked, bare = [], []
-    for name, part in schema.get("properties", {}).items():
-        path = (*at, name)
-        mark = part.get("x-sensitivity")
-        if mark == "restricted":
-            marked.append(".".join(path))
-        elif mark is None and "properties" not in part:
-            bare.append(".".join(path))
-        inner = restricted_paths(part.get("items", part), path)
-        marked += inner[0]
-        bare += inner[1]
-    return marked, bare
-
-
 def all_of(*parts: Column) -> Column:
     return reduce(lambda a, b: a & b, parts)

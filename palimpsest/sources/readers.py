@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators.integrity import EngineError
@@ -25,6 +25,18 @@ def json_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | Non
         raise
 
 
+def shape(raw: Column) -> tuple[Column, Column]:
+    """Geometry type and rings of a feature's JSON text."""
+    kind = F.get_json_object(raw, "$.geometry.type")
+    text = F.get_json_object(raw, "$.geometry.coordinates")
+    rings = (
+        F.when(kind == "Point", F.array(F.array(F.from_json(text, "array<double>"))))
+        .when(kind == "LineString", F.array(F.from_json(text, "array<array<double>>")))
+        .when(kind == "Polygon", F.from_json(text, "array<array<array<double>>>"))
+    )
+    return kind, rings
+
+
 def features(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """Features of a GeoJSON collection: position, geometry type, uniform coordinates, properties.
 
@@ -38,13 +50,7 @@ def features(spark: SparkSession, path: str, properties: str) -> DataFrame:
     if doc.where((F.col("type") != "FeatureCollection") | F.col("features").isNull() | (crs.isNotNull() & ~crs.isin(*CRS_NAMES))).limit(1).count():
         raise EngineError("load", f"{path} is not a collection of features in lon/lat")
     each = doc.select(F.posexplode("features").alias("position", "raw"))
-    kind = F.get_json_object("raw", "$.geometry.type")
-    text = F.get_json_object("raw", "$.geometry.coordinates")
-    rings = (
-        F.when(kind == "Point", F.array(F.array(F.from_json(text, "array<double>"))))
-        .when(kind == "LineString", F.array(F.from_json(text, "array<array<double>>")))
-        .when(kind == "Polygon", F.from_json(text, "array<array<array<double>>>"))
-    )
+    kind, rings = shape(F.col("raw"))
     return each.select("position", kind.alias("geometry_type"), rings.alias("rings"), F.from_json(F.get_json_object("raw", "$.properties"), properties).alias("p"), "raw").select("position", "geometry_type", "rings", "p.*", "raw")
 
 

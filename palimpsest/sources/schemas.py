@@ -1,6 +1,8 @@
 """Explicit schemas; nothing is ever inferred."""
 
 TRAILS = "trail_id string, name string, aka array<string>, corridor string, current_status string, notes string"
+ALIGNMENTS = "alignment_id string, trail_id string, earliest_known_open string, latest_known_open string, earliest_known_closed string, latest_known_closed string, superseded_by string"
+OBSERVATIONS = "observation_id string, date_start string, date_end string, sensitivity string"
 SUPPORT = "alignment_id string, observation_id string, role string, confidence string, note string"
 # Columns of the source index, in file order.
 INDEX_COLUMNS = [
