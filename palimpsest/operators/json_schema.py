@@ -85,7 +85,7 @@ def problems(value: Column, schema: dict | bool, root: dict, path: str = "", dep
     if strange:
         raise EngineError("schema", f"unknown keyword {', '.join(sorted(strange))} at {path or 'the root'}")
     found: list[Problem] = []
-    is_a = kind(value)
+    is_a = kind(value) if schema.keys() - {"const", "enum", "$ref", "properties"} else None
 
     def add(message: str, bad: Column, at: str = path) -> None:
         found.append((at, message, F.coalesce(value.isNotNull() & bad, F.lit(False))))
@@ -100,22 +100,25 @@ def problems(value: Column, schema: dict | bool, root: dict, path: str = "", dep
     if literal is not None:
         shown = [json.dumps(c, ensure_ascii=False, separators=(",", ":")) for c in literal]
         add(f"is not {' or '.join(shown)}", ~F.to_json(value).isin(*shown))
-    string, number = is_a == "string", is_a.isin("integer", "number")
-    sized, exact = F.char_length(text(value)), F.try_variant_get(value, "$", "decimal(38,12)")
+    string = lambda: is_a == "string"
+    number = lambda: is_a.isin("integer", "number")
+    array = lambda: is_a == "array"
+    sized = lambda: F.char_length(text(value))
+    double = lambda: F.try_variant_get(value, "$", "double")
     for word, message, applies, bad in (
         ("pattern", "does not match", string, lambda a: ~text(value).rlike(a)),
-        ("minLength", "is shorter than", string, lambda a: sized < a),
-        ("maxLength", "is longer than", string, lambda a: sized > a),
-        ("minimum", "is less than", number, lambda a: F.try_variant_get(value, "$", "double") < a),
-        ("maximum", "is greater than", number, lambda a: F.try_variant_get(value, "$", "double") > a),
-        ("exclusiveMinimum", "is not above", number, lambda a: F.try_variant_get(value, "$", "double") <= a),
-        ("exclusiveMaximum", "is not below", number, lambda a: F.try_variant_get(value, "$", "double") >= a),
-        ("multipleOf", "is not a multiple of", number, lambda a: exact % F.lit(str(a)).cast("decimal(38,12)") != 0),
-        ("minItems", "has fewer items than", is_a == "array", lambda a: F.size(items(value)) < a),
-        ("maxItems", "has more items than", is_a == "array", lambda a: F.size(items(value)) > a),
+        ("minLength", "is shorter than", string, lambda a: sized() < a),
+        ("maxLength", "is longer than", string, lambda a: sized() > a),
+        ("minimum", "is less than", number, lambda a: double() < a),
+        ("maximum", "is greater than", number, lambda a: double() > a),
+        ("exclusiveMinimum", "is not above", number, lambda a: double() <= a),
+        ("exclusiveMaximum", "is not below", number, lambda a: double() >= a),
+        ("multipleOf", "is not a multiple of", number, lambda a: F.try_variant_get(value, "$", "decimal(38,12)") % F.lit(str(a)).cast("decimal(38,12)") != 0),
+        ("minItems", "has fewer items than", array, lambda a: F.size(items(value)) < a),
+        ("maxItems", "has more items than", array, lambda a: F.size(items(value)) > a),
     ):
         if word in schema:
-            add(f"{message} {schema[word]}", applies & bad(schema[word]))
+            add(f"{message} {schema[word]}", applies() & bad(schema[word]))
     if schema.get("uniqueItems"):
         shown_items = F.transform(items(value), lambda e: F.to_json(e))
         add("has equal items", F.size(shown_items) != F.size(F.array_distinct(shown_items)))

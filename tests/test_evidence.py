@@ -1,6 +1,5 @@
 """One change to a sound graph gives the failures of that change and no others."""
 
-import copy
 import json
 
 import pytest
@@ -94,22 +93,60 @@ CHANGES = [
 ]
 
 
-def test_a_sound_graph_passes_and_each_change_fails_alone(spark, tmp_path):
-    assert failures(spark, tmp_path / "sound", sound()) == set()
-    for i, (path, value, expected) in enumerate(CHANGES):
-        g = copy.deepcopy(sound())
+def copies(n: int) -> dict:
+    """A graph of n sound graphs; the ids of each end in its number."""
+    out = {"trails": [], "alignments": [], "observations": [], "support": [], "header": sound()["header"]}
+    for i in range(n):
+        g = sound()
+        g["trails"][0]["trail_id"] = f"t{i}"
+        g["alignments"][0]["properties"] |= {"alignment_id": f"a{i}", "trail_id": f"t{i}"}
+        g["observations"][0]["properties"]["observation_id"] = f"o{i}"
+        g["support"] = [[f"a{i}", f"o{i}", *g["support"][0][2:]]]
+        for k in FIELDS:
+            out[k] += g[k]
+    return out
+
+
+FIELDS = ["trails", "alignments", "observations", "support"]
+
+
+def test_a_sound_graph_passes(spark, tmp_path):
+    assert failures(spark, tmp_path, sound()) == set()
+
+
+def test_each_change_to_a_record_fails_alone(spark, tmp_path):
+    changes = [c for c in CHANGES if c[0].count(".")]
+    g, expected = copies(len(changes)), set()
+    for i, (path, value, found) in enumerate(changes):
+        own = lambda s: s if s in ("x", "no-trail") else f"{s}{i}"  # noqa: B023, E731
+        name, _, rest = path.split(".", 2) if path.count(".") > 1 else (*path.split("."), "")
+        if name == "support":
+            value = [own(value[0]), own(value[1]), *value[2:]]
+        elif rest.endswith("superseded_by"):
+            value = own(value)
+        put(g, f"{name}.{i}" + f".{rest}" * (rest != ""), value)
+        for check, record in found:
+            file, _, ids = record.partition("[0] ")
+            expected.add((check, f"{file}[{i}] " + (ids if ids.startswith("<") else " -> ".join(map(own, ids.split(" -> "))))))
+    assert {f[:2] for f in failures(spark, tmp_path, g)} == expected
+
+
+def test_files_that_do_not_load(spark, tmp_path):
+    for i, (path, value, expected) in enumerate(c for c in CHANGES if not c[0].count(".")):
+        g = sound()
         put(g, path, value)
         assert {f[:2] for f in failures(spark, tmp_path / str(i), g)} == set(expected), path
 
 
 def test_repeated_records_and_missing_files(spark, tmp_path):
-    for n, file in (("trails", "trails.json[1] t"), ("alignments", "alignments.geojson[1] a"), ("observations", "observations.geojson[1] o")):
-        g = sound()
+    g = sound()
+    for n in ("trails", "alignments", "observations"):
         g[n] = g[n] * 2
-        assert {f[:2] for f in failures(spark, tmp_path / n, g)} == {("references", file)}
+    found = {f[:2] for f in failures(spark, tmp_path / "g", g)}
+    assert found == {("references", f) for f in ("trails.json[1] t", "alignments.geojson[1] a", "observations.geojson[1] o")}
     for n in ("trails.json", "support.csv"):
-        (tmp_path / "trails" / n).unlink()
-    assert {tuple(r) for r in validate_folder(spark, str(tmp_path / "trails"), SCHEMAS).collect()} == {("schema", n, "file is missing") for n in ("trails.json", "support.csv")}
+        (tmp_path / "g" / n).unlink()
+    assert {tuple(r) for r in validate_folder(spark, str(tmp_path / "g"), SCHEMAS).collect()} == {("schema", n, "file is missing") for n in ("trails.json", "support.csv")}
 
 
 def test_restricted_values_are_found_by_their_marks(spark, tmp_path):
