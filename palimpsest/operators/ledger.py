@@ -38,19 +38,37 @@ def file_digests(spark, path: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.col("length").alias("byte_count"), F.sha2("content", 256).alias("sha256"))
 
 
+# Fixed value: bytes by which an unreceipted file may differ from the size that the index states.
+SIZE_TOLERANCE = 16
+
+
 def plan_status(index: DataFrame, receipts: DataFrame, disk: DataFrame, key: str = "topo_id") -> DataFrame:
-    """What a download has to do for each row of the index."""
+    """``status`` (missing, mismatch, present) and ``detail`` of each row of the index.
+
+    A file with a receipt must have its size and hash. One without needs a review
+    if it is empty, and else must be near the index's ``size_bytes``, where that is
+    a number. ``disk``: key, byte_count, sha256 of the files that are there.
+    """
     r = receipts.select(F.col(key).alias("_rk"), F.col("sha256").alias("_rh"), F.col("byte_count").alias("_rn"))
     d = disk.select(F.col(key).alias("_dk"), F.col("sha256").alias("_dh"), F.col("byte_count").alias("_dn"))
     out = index.join(r, F.col(key) == F.col("_rk"), "left").join(d, F.col(key) == F.col("_dk"), "left")
-    status = (
-        F.when(F.col("_dk").isNull(), "missing")
-        .when(F.col("_rk").isNull(), "present-unreceipted")
-        .when(F.col("_rn") != F.col("_dn"), "size-mismatch")
-        .when(F.col("_rh") != F.col("_dh"), "hash-mismatch")
-        .otherwise("present-verified")
+    size = F.when(F.col("size_bytes").rlike(r"^\d+\z"), F.col("size_bytes").try_cast("long"))
+
+    def says(status: str, detail: str):
+        return F.struct(F.lit(status).alias("status"), F.lit(detail).alias("detail"))
+
+    receipted = F.col("_rk").isNotNull()
+    verdict = (
+        F.when(F.col("_dk").isNull() & receipted, says("missing", "receipted file absent"))
+        .when(F.col("_dk").isNull(), says("missing", "not fetched"))
+        .when(receipted & ~F.col("_rn").eqNullSafe(F.col("_dn")), says("mismatch", "size differs from the receipt"))
+        .when(receipted & ~F.col("_rh").eqNullSafe(F.col("_dh")), says("mismatch", "hash differs from the receipt"))
+        .when(receipted, says("present", "verified against the receipt"))
+        .when(F.coalesce(F.col("_dn"), F.lit(0)) == 0, says("mismatch", "file needs a review"))
+        .when(F.abs(F.col("_dn") - size) > SIZE_TOLERANCE, says("mismatch", "size differs from the index"))
+        .otherwise(says("present", "unreceipted file within tolerance"))
     )
-    return out.withColumn("status", status).drop("_rk", "_rh", "_rn", "_dk", "_dh", "_dn")
+    return out.withColumn("_v", verdict).select(*(F.col(c) for c in index.columns), "_v.status", "_v.detail")
 
 
 def stale(plans: DataFrame, record: DataFrame, key: str) -> DataFrame:

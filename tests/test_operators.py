@@ -224,3 +224,21 @@ def test_six_places_are_exact(spark):
     rings = [[[-121.0, 39.0], [-120.123456, 39.5], [-120.0, 39.0], [-121.0, 39.0]], [[-121.0, 39.0], [-120.1234560001, 39.5], [-120.0, 39.0], [-121.0, 39.0]]]
     df = spark.createDataFrame([("good", "Polygon", [rings[0]]), ("fine", "Polygon", [rings[1]])], "id string, geometry_type string, rings array<array<array<double>>>")
     assert {r.record for r in evidence.geometry(df, "id", ["Polygon"]).collect()} == {"fine"}
+
+
+def test_plan_status_of_files_with_and_without_receipts(spark):
+    index = spark.createDataFrame([(c, size) for c, size in zip("abcdefghi", ["10", "10", "10", "10", "100", "100", "100", "x", ""])], "topo_id string, size_bytes string")
+    receipts = spark.createDataFrame([("a", "h", 10), ("b", "h", 10), ("c", "h", 10), ("d", "h", 10)], "topo_id string, sha256 string, byte_count long")
+    disk = spark.createDataFrame([("b", "h", 10), ("c", "h", 9), ("d", "k", 10), ("e", "h", 116), ("f", "h", 117), ("g", "h", 0), ("h", "h", 5)], "topo_id string, sha256 string, byte_count long")
+    got = {r.topo_id: (r.status, r.detail) for r in L.plan_status(index, receipts, disk).collect()}
+    assert got == {
+        "a": ("missing", "receipted file absent"),
+        "b": ("present", "verified against the receipt"),
+        "c": ("mismatch", "size differs from the receipt"),
+        "d": ("mismatch", "hash differs from the receipt"),
+        "e": ("present", "unreceipted file within tolerance"),
+        "f": ("mismatch", "size differs from the index"),
+        "g": ("mismatch", "file needs a review"),
+        "h": ("present", "unreceipted file within tolerance"),
+        "i": ("missing", "not fetched"),
+    }
