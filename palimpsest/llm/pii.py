@@ -4,11 +4,13 @@ Entities are e-mail addresses, phone numbers, IPv4 addresses, card numbers,
 access keys, hexadecimal secrets, passwords and names: up to three capitalised
 words after a title, and a known given name with the capitalised word after it.
 A word of these that is no known given name is a surname if it is the last, and
-else a given name of the title's gender. Other names are not detected. Mentions of one entity share a canonical form (digits of a
-phone number, lower case of an address), so they share a surrogate, which is
-written back in each mention's own format. Surrogates of one type differ by
-construction. Those that equal a real entity of the corpus are drawn again,
-with a distributed check of all entities, until none do.
+else a given name of the title's gender. Other names are not detected. Mentions
+of one entity share a canonical form (digits of a phone number, lower case of an
+address), so they share a surrogate, which is written back in each mention's own
+format. Those that equal a real entity of the corpus or each other, names and
+types apart included, are drawn again, with a distributed check of all entities,
+until none do. Late draws take a wider format: a given name gets a second part,
+other entities more characters, and private addresses another network.
 
 Cases: null texts stay null and have no entities; empty texts have none;
 repeated rows are treated alike; an empty table stays empty; texts are read
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from palimpsest.llm.common import aside, id_of, read, restored, save, text_of
+from palimpsest.llm.common import aside, id_of, read, remove, restored, save, text_of
 from palimpsest.llm.surrogates import GENDER, TITLES, surrogate
 
 _SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("type", StringType())]))
@@ -56,6 +58,8 @@ PATTERN = re.compile(
 # A text without any of these characters or letters cannot hold an entity.
 _MAY = re.compile(rf"[0-9@]|\b(?:{_NAMES}|{_TITLES})\b|[=:]")
 _HEX = re.compile(r"[0-9a-f]+\Z")
+# So many redrawn entities at most go to every task; more are joined to their documents.
+SHIPPED = 100_000
 
 
 def find(text: str) -> Iterator[tuple[int, int, str, str]]:
@@ -90,7 +94,7 @@ def render(mention: str, kind: str, canonical: str, new: str) -> str:
     if kind in ("card", "phone"):
         spare = re.sub(r"\D", "", mention)
         digits = iter(spare[: len(spare) - len(canonical)] + new)
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+        return "".join([*(next(digits) if c.isdigit() else c for c in mention), *digits])  # a wider one ends after the mention's digits
     if kind == "email" and len(new) == len(mention):
         return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new, strict=True))
     return new
@@ -119,29 +123,33 @@ def entities(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     return docs.select(docs[text].cast("string").alias("t")).mapInArrow(run, "kind string, what string, new string").distinct()
 
 
-def redrawn(found: DataFrame, key: bytes, most: int = 20) -> DataFrame:
+def redrawn(found: DataFrame, key: bytes) -> DataFrame:
     """Entities whose surrogate must be drawn again: ``kind``, ``what``, ``attempt``.
 
-    Given names are left out: their lists are closed, and any name is a common one.
+    No surrogate may be a real entity's text or another's surrogate, whatever
+    their types. The rounds end when none is: the formats of late draws grow.
     """
-    found = save(found.where("kind NOT IN ('name', 'given')").withColumn("attempt", F.lit(0)), "entities")
-    real = found.select("kind", F.col("what").alias("new"), F.lit(1).alias("real"))
+    first = found = save(found.withColumn("attempt", F.lit(0)), "entities")
+    said = F.when(F.col("kind") == "given", F.substring_index("what", ":", -1)).otherwise(F.col("what"))
+    real = first.select(said.alias("new"), F.lit(1).alias("real")).distinct()
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.to_pylist()
             yield pa.RecordBatch.from_pylist([r | {"new": surrogate(r["kind"], r["what"], key, r["attempt"])} for r in rows], schema=b.schema)
 
-    for _ in range(most):
-        shared = found.groupBy("kind", "new").agg(F.min(F.struct("attempt", "what")).alias("keeper"), F.count("*").alias("n"))
-        bad = shared.join(real, ["kind", "new"], "left").where("n > 1 OR real = 1")
+    while True:
+        shared = found.groupBy("new").agg(F.min(F.struct("attempt", "kind", "what")).alias("keeper"), F.count("*").alias("n"))
+        bad = shared.join(real, "new", "left").where("n > 1 OR real = 1")
         if not bad.limit(1).count():
             break
-        marked = found.join(bad.select("kind", "new", "keeper", "real"), ["kind", "new"], "left")
-        redo = F.col("keeper").isNotNull() & (F.col("real").isNotNull() | (F.struct("attempt", "what") != F.col("keeper")))
-        stepped = marked.withColumn("attempt", F.when(redo, F.col("attempt") + 1).otherwise(F.col("attempt"))).withColumn("redo", F.coalesce(redo, F.lit(False)))
+        marked = found.join(bad.select("new", "keeper", "real"), "new", "left")
+        redo = F.col("keeper").isNotNull() & (F.col("real").isNotNull() | (F.struct("attempt", "kind", "what") != F.col("keeper")))
+        stepped = marked.withColumn("redo", redo).withColumn("attempt", F.when(F.col("redo"), F.col("attempt") + 1).otherwise(F.col("attempt")))
         fresh = stepped.where("redo").select("kind", "what", "new", "attempt").mapInArrow(again, "kind string, what string, new string, attempt int")
-        found = save(stepped.where("NOT redo").select("kind", "what", "new", "attempt").unionByName(fresh), "entities")
+        before, found = found, save(stepped.where("NOT redo").select("kind", "what", "new", "attempt").unionByName(fresh), "entities")
+        if before is not first:
+            remove(before)
     return found.where("attempt > 0").select("kind", "what", "attempt")
 
 
@@ -151,9 +159,10 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", doc_id: str =
     back = {c: new for new, c in names.items()}
     text, doc_id = back.get(text, text), back.get(doc_id, doc_id)
     drawn = redrawn(entities(docs, key, text), key)
-    some = drawn.limit(1).count() > 0
+    many = drawn.count() > SHIPPED
+    shipped = {} if many else {(r.kind, r.what): r.attempt for r in drawn.collect()}
     source = docs
-    if some:  # the few documents that hold such an entity get its attempt by a join
+    if many:  # the documents that hold such an entity get its attempt by a join
 
         def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -174,7 +183,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", doc_id: str =
             drawn_at, text_at = b.schema.get_field_index("_p_drawn"), b.schema.get_field_index(text)
             new, spans = [], []
             for t, own in zip(b.column(text_at).to_pylist(), b.column(drawn_at).to_pylist(), strict=True):
-                said, found = replace(t, key, {(d["kind"], d["what"]): d["attempt"] for d in own or ()}) if t else (t, [])
+                said, found = replace(t, key, {(d["kind"], d["what"]): d["attempt"] for d in own or ()} if many else shipped) if t else (t, [])
                 new.append(said)
                 spans.append([{"start": x, "end": y, "type": k} for x, y, k in found])
             b = b.set_column(text_at, text, pa.array(new, b.column(text_at).type))

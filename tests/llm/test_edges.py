@@ -220,6 +220,43 @@ def test_surrogates_avoid_real_entities(spark):
     assert [(r.what, r.attempt) for r in pii.redrawn(t, b"key").collect()] == [("0a" * 16, 1)]
 
 
+@pytest.mark.parametrize("shipped", [100_000, 0])
+def test_surrogates_in_full_spaces(spark, monkeypatch, shipped):
+    monkeypatch.setattr(pii, "SHIPPED", shipped, raising=False)
+    single = [f"{c}@example.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    named = [f"{n} Schmidt" for names in surrogates.GIVEN.values() for n in names]
+    titled = [f"Herr {a}{b}rk Maier" for a in "BDFGKLMNPR" for b in "aeiou"]
+    texts = [*named, *titled, *([*single, "password=------", "no. 1: (٧٤٣) ٥٥٥-٣٨٢٤"] if shipped else [])]
+    t = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string")
+    rows = pii.pseudonymise(t, b"key").collect()
+    real, new = {}, {}
+    for r in rows:
+        old = texts[r.doc_id]
+        for k, (a, b, kind, what) in enumerate(pii.find(old)):
+            assert tuple(r._p_spans[k]) == (a, b, kind)
+            real[kind, what] = what.rpartition(":")[2]
+        assert k + 1 == len(r._p_spans)
+    for r in rows:  # what stands in the place of each entity
+        old, said = texts[r.doc_id], r.text
+        spans = list(pii.find(old))
+        shape = "".join(f"{re.escape(old[x:a])}(.+?)" for x, (a, *_) in zip([0, *(s[1] for s in spans)], spans, strict=False)) + re.escape(old[spans[-1][1] :])
+        for (_, _, kind, what), put in zip(spans, re.fullmatch(shape, said).groups(), strict=True):
+            put = re.sub(r"\D", "", put) if kind == "phone" else put
+            assert put not in real.values() and new.setdefault((kind, what), put) == put
+    assert len(set(new.values())) == len(new) == 60 + 50 + 2 + (28 if shipped else 0)
+    assert surrogates.GENDER[new["given", "m:Bark"].partition("-")[0]] == ("latin", "m") and surrogates.GENDER[new["name", "Вера"].partition("-")[0]] == ("cyrillic", "f")
+
+
+def test_late_draws_widen():
+    real = {"ip": "192.168.0.1", "card": "4111111111111111", "phone": "1345678", "email": "a@example.com", "hex": "abc123", "key": "AKIA" + "A" * 16, "secret": "------", "surname": "王", "name": "Anna", "given": "f:王"}
+    for kind, what in real.items():
+        new = [surrogates.surrogate(kind, what, b"key", k) for k in (*range(20, 30), *range(40, 50))]
+        assert len(set(new)) == 20 and (kind == "ip" or len(new[-1]) > len(new[0]) > len(what.partition(":")[2] or what))
+    assert surrogates.surrogate("ip", "192.168.0.1", b"key", 20).startswith("10.") and surrogates.surrogate("ip", "8.8.8.8", b"key", 40).startswith("2001:db8:")
+    assert surrogates.luhn((card := surrogates.surrogate("card", real["card"], b"key", 21))[:-1]) == int(card[-1])
+    assert pii.render("+1 (743) 555-3824", "phone", "7435553824", "29876543211234") == "+1 (298) 765-43211234"
+
+
 def test_toxicity(spark, none):
     rng = random.Random(3)
     rows, labels = [], []
